@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import decontaminate, langid, mixing, neardup, sharding
+from . import ann, decontaminate, langid, mixing, neardup, pii, sharding, simple8b, urlfilter, zipwarc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal spans of every document."""
+    return pii.personal_spans(table(spark, sf_dir, "documents"))
+
+
+def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document in Simple-8b words."""
+    return simple8b.coded(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of near-duplicate groups."""
     return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"))
@@ -31,11 +41,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "row_number", "position", "shard", "slot")
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that match the URL of every page."""
+    return urlfilter.filtered(table(spark, sf_dir, "pages"))
+
+
+def op7_zipwarc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, packed into archives and read back from them."""
+    return zipwarc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of every use of every document."""
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source")).withColumn("source", F.coalesce("source", F.lit("")))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and code length of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -43,9 +68,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
+    "op3_simple8b": op3_simple8b,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_urlfilter": op6_urlfilter,
+    "op7_zipwarc": op7_zipwarc,
     "op8_mixing": op8_mixing,
+    "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
 }
-ORACLE: dict[str, str] = {"op5_sharding": sharding.sharding_sql(), "op8_mixing": mixing.mixing_sql()}
+ORACLE: dict[str, str] = {
+    "op5_sharding": sharding.sharding_sql(),
+    "op6_urlfilter": urlfilter.filter_sql(),
+    "op7_zipwarc": "SELECT page_id, url, html FROM pages",
+    "op8_mixing": mixing.mixing_sql(),
+}
