@@ -322,4 +322,4 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.withColumn("__hash", F.xxhash64(text_col))
     kept = keyed.join(lost, (F.col(id_col) == F.col("__lost")) & (F.col("__hash") == F.col("__t")), "left_anti")
     twice = F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy("__hash"))
-    return kept.withColumn("__n", F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), twice).otherwise(1)).where("__n = 1").select(*names)
+    return kept.withColumn("__n", F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), twice).otherwise(1)).where("__n = 1").select(*(F.col(f"`{c}`") for c in names))
