@@ -165,11 +165,13 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = tb.utf8(column)
         if not len(data):
             continue
-        mark = np.flatnonzero((data >= 48) & (data <= 57) | (data == 64))
-        numeric = set(np.unique(np.searchsorted(offsets, mark, "right") - 1).tolist())
+        numeric: set[int] = set()
         named: set[int] = set()
         for i, j in tb.chunks(offsets):
-            low = tb.fold(data[offsets[i] : offsets[j]])
+            part = data[offsets[i] : offsets[j]]
+            mark = np.flatnonzero((part >= 48) & (part <= 57) | (part == 64)) + offsets[i]
+            numeric.update(np.unique(np.searchsorted(offsets, mark, "right") - 1).tolist())
+            low = tb.fold(part)
             start, end, doc = tb.word_spans(low, offsets[i : j + 1] - offsets[i])
             h = tb.span_hashes(low, start, end)
             at = np.minimum(np.searchsorted(_GIVEN, h), len(_GIVEN) - 1)
