@@ -8,11 +8,12 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in Python workers; returns the session."""
+    """Makes the package importable in Python workers, bounds Arrow batches unless the session does; returns the session."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
@@ -21,5 +22,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(path))
+        if spark.conf.get(BATCH) == "67108864b":  # a batch of long texts is in memory several times
+            spark.conf.set(BATCH, "8m")
         _shipped.add(app)
     return spark
