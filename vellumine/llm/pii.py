@@ -63,7 +63,7 @@ def _given() -> np.ndarray:
 
 
 _GIVEN = _given()
-_PERSON = re.compile(r"(?<!\w)(?:(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? +(?:[^\W\d_]+ +)?|(?P<given>" + "|".join(GIVEN_NAMES) + r") +)(?P<last>[^\W\d_]+)", re.IGNORECASE)
+_PERSON = re.compile(r"(?<!\w)(?:(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? +|(?P<given>" + "|".join(GIVEN_NAMES) + r") +)(?P<last>[^\W\d_]+)", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:

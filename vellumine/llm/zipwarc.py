@@ -49,7 +49,7 @@ def directory(read_at: ReadAt, size: int) -> list[tuple[str, int, int, int, int]
     tail_at = max(0, size - 65557)
     tail = read_at(tail_at, size - tail_at)
     k = tail.rfind(_END)
-    while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
         k = tail.rfind(_END, 0, k)
     if k < 0:
         raise ValueError("no end record: not a ZIP file")
