@@ -11,6 +11,7 @@ stages keep what they have no evidence against.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellumine.llm import decontaminate, langid, mixing, neardup, sharding
 from vellumine.llm.storage import written
@@ -37,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask, each at least once."""
     ship(spark)
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
