@@ -34,7 +34,7 @@ def number_text(x: Column) -> Column:
     return (
         F.when(F.isnan(x), "NaN")
         .when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity"))
-        .when((x == F.floor(x)) & (size < 1e21), whole)
+        .when(((size >= 9007199254740992.0) | (x == F.floor(x))) & (size < 1e21), whole)
         .when((size >= 1e-6) & (size < 1e21), F.when(F.contains(s, F.lit("E")), plain).otherwise(s))
         .otherwise(power)
     )

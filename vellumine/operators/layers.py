@@ -37,6 +37,11 @@ class Compiled:
     documents: DataFrame
     version: int = 1
 
+    def as_views(self, prefix: str = "") -> None:
+        """Temporary views entities, pages and documents for SQL."""
+        for name in ("entities", "pages", "documents"):
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+
 
 def _status(df: DataFrame) -> Column:
     return F.coalesce(F.nullif(F.col("verification_status"), F.lit("")), F.lit("pending"))

@@ -45,6 +45,10 @@ def _text(v: Any) -> str | None:
     return None if v is None else js.literal_text(v if isinstance(v, (bool, str)) else float(v))
 
 
+def _without(column: str, key: str) -> Column:
+    return F.map_filter(column, lambda k, _: k != key)
+
+
 def _kind(v: Any) -> str:
     return "bool" if isinstance(v, bool) else "str" if isinstance(v, str) else "num"
 
@@ -115,7 +119,7 @@ def remove_attributes(s: EntitySet, keys: list[str], timestamp: int = 0) -> Enti
         if key in META:
             df = df.withColumn(META[key][0], F.lit(None).cast(df.schema[META[key][0]].dataType))
         elif "extra" in df.columns:
-            df = df.withColumn("extra", F.map_filter("extra", lambda k, _, key=key: k != key))
+            df = df.withColumn("extra", _without("extra", key))
     return _result(s, df, logs)
 
 
