@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import written
 
@@ -33,8 +34,10 @@ def numbered(rows: DataFrame, keys: list[str], tie: Column, name: str = "row_num
 
     Rows equal in both are interchangeable.
     """
-    first = starts(rows, keys).select(F.struct(*keys).alias("__key"), F.col("start").alias("__start"))
-    keyed = rows.withColumn("__key", F.struct(*keys))  # a struct of nulls is no null: one shuffle serves the window and the join
+    # A struct of nulls is no null, and both sides have one type, nullable: one shuffle serves the window and the join.
+    kind = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
+    first = starts(rows, keys).select(F.struct(*keys).cast(kind).alias("__key"), F.col("start").alias("__start"))
+    keyed = rows.withColumn("__key", F.struct(*keys).cast(kind))
     same = F.row_number().over(Window.partitionBy("__key").orderBy(tie)) - 1
     joined = keyed.withColumn("__same", same).join(first, "__key")
     return joined.withColumn(name, F.col("__start") + F.col("__same")).drop("__start", "__same", "__key")
