@@ -89,3 +89,15 @@ def test_mixing_of_odd_rows(odd, nothing):
     assert mixing.mixed(nothing).count() == 0
     assert mixing.mixed(odd, {"nowhere": 1.0}).count() == 0
     assert mixing.mixed(odd.withColumn("slot", F.lit("x"))).columns[-4:] == ["epoch", "block", "slot", "position"]
+
+
+def test_mixing_keeps_the_weights_themselves(spark):
+    weights = {"hot": 0.5} | {f"s{k:02}": 0.5 / 19 for k in range(19)}
+    rows = [("hot", k) for k in range(3000)] + [(s, k) for s in weights if s != "hot" for k in range(3)]
+    got = mixing.mixed(spark.createDataFrame(rows, "source string, doc_id long"), weights, block=1).select("slot", "source").collect()
+    given = Counter()
+    for t, (slot, s) in enumerate(sorted(tuple(r) for r in got), 1):
+        assert slot == t - 1
+        given[s] += 1
+        assert all(abs(given[x] - w * t) < 1 + 1e-9 for x, w in weights.items())
+    assert given["hot"] == 3000

@@ -7,10 +7,16 @@ block with the earliest deadline goes next (ties: first source in alphabetical
 order).  As the weights sum to one, no deadline is missed, so after any number
 of slots t each source has been given less than one block more or less than w t.
 
-Weights are parts p of ``period`` slots (every source at least one part, the
-rest apportioned by largest remainders), so the schedule repeats: one period is
-simulated, over slots and not documents, and block j of a source goes to slot
-(j div p) period + S[j mod p].  All documents find their slots in parallel.
+Releases and deadlines are computed in whole numbers from the weights themselves
+(a float is a fraction), over all slots up to the end; the driver simulates the
+slots, not the documents, and all documents find their slots in parallel.
+
+With a ``period``, weights are rounded to parts p of so many slots (every source
+at least one part, the rest apportioned by largest remainders) and the schedule
+repeats: block j of a source goes to slot (j div p) period + S[j mod p].  The
+bound then holds for p / period, not for the weight.  ``mixing_sql`` does this
+with 1000 slots, so it equals ``mixed`` without a period only where the parts are
+the weights, as in tables whose sources have equal sizes.
 
 The mix ends when every source has been used up once; a source that is used up
 earlier starts over (its ``epoch`` counts up), so no document is lost and the
@@ -29,13 +35,18 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .order import numbered
 
 BLOCK, PERIOD, TEMPERATURE = 64, 1000, 0.8
+CHUNK, LOCAL = 4096, 1 << 22
 
 
 def parts(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -71,9 +82,37 @@ def schedule(share: Mapping[str, int]) -> dict[str, list[int]]:
     return out
 
 
+def exact_schedule(weights: Mapping[str, float], blocks: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of each source's blocks, by the weights themselves, until every source has had its ``blocks``."""
+    names = sorted(weights)
+    ratio = [Fraction(weights[s]) for s in names]
+    scale = lcm(*(r.denominator for r in ratio))
+    share = [int(r * scale) for r in ratio]
+    total, missing = sum(share), len(names)
+    future, ready = [(0, k) for k in range(len(names))], []
+    out: list[list[int]] = [[] for _ in names]
+    t = 0
+    while missing:
+        while future and future[0][0] <= t:
+            _, k = heapq.heappop(future)
+            heapq.heappush(ready, (-(-(len(out[k]) + 1) * total // share[k]), k))
+        due, k = heapq.heappop(ready)
+        assert t < due
+        out[k].append(t)
+        missing -= len(out[k]) == blocks[names[k]]
+        heapq.heappush(future, (len(out[k]) * total // share[k], k))
+        t += 1
+    return dict(zip(names, out, strict=True))
+
+
+def used_weights(counts: Mapping[str, int], weights: Mapping[str, float] | None, temperature: float) -> dict[str, float]:
+    """The positive weights of the sources there are."""
+    return {s: n**temperature for s, n in counts.items()} if weights is None else {s: float(weights[s]) for s in counts if weights.get(s, 0) > 0}
+
+
 def plan(counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, period: int, temperature: float) -> list[tuple]:
     """Source, first row number, blocks, blocks scheduled, parts, slots within a period."""
-    used = {s: n**temperature for s, n in counts.items()} if weights is None else {s: float(weights[s]) for s in counts if weights.get(s, 0) > 0}
+    used = used_weights(counts, weights, temperature)
     if not used:
         return []
     share = parts(used, period)
@@ -89,25 +128,51 @@ def plan(counts: Mapping[str, int], weights: Mapping[str, float] | None, block:
     return out
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with epoch, block, slot and position; a row for each time a document is used."""
     docs = docs.drop("epoch", "block", "slot", "position")
     names = docs.columns
     keyed = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     counts = {r[0]: r[1] for r in keyed.groupBy("__source").count().collect()}  # a row a source
-    rows = plan(counts, weights, block, period, temperature)
-    spark = docs.sparkSession
-    period = sum(r[4] for r in rows)
-    table = spark.createDataFrame(rows, "__source string, __first long, __blocks long, __given long, __parts long, __slots array<int>")
     plain = [F.col(f"`{c}`") for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
     n = numbered(keyed, ["__source", id_col], F.xxhash64(*plain), "__row")
+    n = _exact(n, counts, weights, block, temperature) if period is None else _periodic(n, counts, weights, block, period, temperature)
+    return n.withColumn("position", F.col("slot") * block + F.col("__in") % block).select(*(F.col(f"`{c}`") for c in names), "epoch", "block", "slot", "position")
+
+
+def _exact(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, temperature: float) -> DataFrame:
+    """Numbered rows with their uses, by the weights themselves."""
+    used = used_weights(counts, weights, temperature)
+    slots = exact_schedule(used, {s: -(-counts[s] // block) for s in used}) if used else {}
+    spark, rows, before = n.sparkSession, [], 0
+    for s in sorted(counts):
+        if s in used:
+            rows.append((s, before, -(-counts[s] // block), len(slots[s])))
+        before += counts[s]
+    table = spark.createDataFrame(rows, "__source string, __first long, __blocks long, __given long")
+    parts = [(s, k // CHUNK, np.array(x[k : k + CHUNK], np.int64)) for s, x in slots.items() for k in range(0, len(x), CHUNK)]
+    lists = pa.array([p[2] for p in parts], pa.list_(pa.int64()))
+    chunks = spark.createDataFrame(pa.table({"__source": pa.array([p[0] for p in parts], pa.string()), "__chunk": pa.array([p[1] for p in parts], pa.int64()), "__slots": lists}))
+    n = n.join(F.broadcast(table) if len(rows) <= 1000 else table, "__source").withColumn("__in", F.col("__row") - F.col("__first"))
+    n = n.withColumn("block", F.floor(F.col("__in") / block).cast("long"))
+    last = F.floor((F.col("__given") - 1 - F.col("block")) / F.col("__blocks")).cast("long")
+    n = n.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("__j", F.col("epoch") * F.col("__blocks") + F.col("block"))
+    n = n.withColumn("__chunk", F.floor(F.col("__j") / CHUNK).cast("long"))
+    n = n.join(F.broadcast(chunks) if sum(map(len, slots.values())) <= LOCAL else chunks, ["__source", "__chunk"])
+    return n.withColumn("slot", F.element_at("__slots", (F.col("__j") % CHUNK + 1).cast("int")))
+
+
+def _periodic(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, period: int, temperature: float) -> DataFrame:
+    """Numbered rows with their uses, by parts of a period."""
+    rows = plan(counts, weights, block, period, temperature)
+    period = sum(r[4] for r in rows)
+    table = n.sparkSession.createDataFrame(rows, "__source string, __first long, __blocks long, __given long, __parts long, __slots array<int>")
     n = n.join(F.broadcast(table) if len(rows) <= 1000 else table, "__source").withColumn("__in", F.col("__row") - F.col("__first"))
     n = n.withColumn("block", F.floor(F.col("__in") / block).cast("long"))
     last = F.floor((F.col("__given") - 1 - F.col("block")) / F.col("__blocks")).cast("long")
     n = n.where(F.col("__given") > F.col("block")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     j = F.col("epoch") * F.col("__blocks") + F.col("block")
-    n = n.withColumn("slot", F.floor(j / F.col("__parts")).cast("long") * period + F.element_at("__slots", (j % F.col("__parts") + 1).cast("int")))
-    return n.withColumn("position", F.col("slot") * block + F.col("__in") % block).select(*(F.col(f"`{c}`") for c in names), "epoch", "block", "slot", "position")
+    return n.withColumn("slot", F.floor(j / F.col("__parts")).cast("long") * period + F.element_at("__slots", (j % F.col("__parts") + 1).cast("int")))
 
 
 def mixing_sql(block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> str:
