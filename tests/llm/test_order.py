@@ -101,3 +101,16 @@ def test_mixing_keeps_the_weights_themselves(spark):
         given[s] += 1
         assert all(abs(given[x] - w * t) < 1 + 1e-9 for x, w in weights.items())
     assert given["hot"] == 3000
+
+
+def test_blocks_of_repeated_sources_are_full(spark):
+    rows = [("a", k) for k in range(10)] + [("b", k) for k in range(65)] + [("c", k) for k in range(64 * 30)]
+    weights = {"a": 0.3, "b": 0.3, "c": 0.4}
+    got = mixing.mixed(spark.createDataFrame(rows, "source string, doc_id long"), weights).select("source", "doc_id", "epoch", "block", "slot", "position").collect()
+    assert set(Counter(r.slot for r in got).values()) == {64}
+    given, total = Counter(r.source for r in got), len(got)
+    assert all(abs(given[s] - w * total) < 64 for s, w in weights.items())
+    for s, n in (("a", 10), ("b", 65), ("c", 64 * 30)):
+        mine = sorted((r for r in got if r.source == s), key=lambda r: r.position)
+        assert [(r.doc_id, r.epoch, r.block) for r in mine] == [(k % n, k // n, k // 64) for k in range(len(mine))]
+        assert all(r.position // 64 == r.slot for r in mine)

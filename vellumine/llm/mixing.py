@@ -12,15 +12,18 @@ Releases and deadlines are computed in whole numbers from the weights themselves
 slots, not the documents, and all documents find their slots in parallel.
 
 With a ``period``, weights are rounded to parts p of so many slots (every source
-at least one part, the rest apportioned by largest remainders) and the schedule
-repeats: block j of a source goes to slot (j div p) period + S[j mod p].  The
-bound then holds for p / period, not for the weight.  ``mixing_sql`` does this
+at least one part, the rest apportioned by largest remainders), each epoch of a
+source ends with a short block, and the schedule repeats: block j of a source
+goes to slot (j div p) period + S[j mod p].  The bound then holds for p / period,
+not for the weight.  ``mixing_sql`` does this
 with 1000 slots, so it equals ``mixed`` without a period only where the parts are
-the weights, as in tables whose sources have equal sizes.
+the weights and no source is repeated, as in tables whose sources have equal sizes.
 
 The mix ends when every source has been used up once; a source that is used up
-earlier starts over (its ``epoch`` counts up), so no document is lost and the
-shares hold to the end.  Without ``weights`` a source of n documents weighs
+earlier starts over (its ``epoch`` counts up) within the same block, and block
+numbers run on, so every block of a repeated source is full, no document is lost
+and the shares hold in documents too.  Only a source that is not repeated may
+end with a short block.  Without ``weights`` a source of n documents weighs
 n ** temperature.
 
 Defined cases: a null source is the source ''; with ``weights``, sources that
@@ -137,7 +140,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_co
     plain = [F.col(f"`{c}`") for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
     n = numbered(keyed, ["__source", id_col], F.xxhash64(*plain), "__row")
     n = _exact(n, counts, weights, block, temperature) if period is None else _periodic(n, counts, weights, block, period, temperature)
-    return n.withColumn("position", F.col("slot") * block + F.col("__in") % block).select(*(F.col(f"`{c}`") for c in names), "epoch", "block", "slot", "position")
+    return n.withColumn("position", F.col("slot") * block + F.col("__at")).select(*(F.col(f"`{c}`") for c in names), "epoch", "block", "slot", "position")
 
 
 def _exact(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, temperature: float) -> DataFrame:
@@ -147,19 +150,20 @@ def _exact(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float]
     spark, rows, before = n.sparkSession, [], 0
     for s in sorted(counts):
         if s in used:
-            rows.append((s, before, -(-counts[s] // block), len(slots[s])))
+            given = len(slots[s])  # a source that is not repeated ends with what it has
+            rows.append((s, before, counts[s], given * block if given > -(-counts[s] // block) else counts[s]))
         before += counts[s]
-    table = spark.createDataFrame(rows, "__source string, __first long, __blocks long, __given long")
+    table = spark.createDataFrame(rows, "__source string, __first long, __n long, __docs long")
     parts = [(s, k // CHUNK, np.array(x[k : k + CHUNK], np.int64)) for s, x in slots.items() for k in range(0, len(x), CHUNK)]
     lists = pa.array([p[2] for p in parts], pa.list_(pa.int64()))
     chunks = spark.createDataFrame(pa.table({"__source": pa.array([p[0] for p in parts], pa.string()), "__chunk": pa.array([p[1] for p in parts], pa.int64()), "__slots": lists}))
     n = n.join(F.broadcast(table) if len(rows) <= 1000 else table, "__source").withColumn("__in", F.col("__row") - F.col("__first"))
-    n = n.withColumn("block", F.floor(F.col("__in") / block).cast("long"))
-    last = F.floor((F.col("__given") - 1 - F.col("block")) / F.col("__blocks")).cast("long")
-    n = n.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("__j", F.col("epoch") * F.col("__blocks") + F.col("block"))
-    n = n.withColumn("__chunk", F.floor(F.col("__j") / CHUNK).cast("long"))
+    last = F.floor((F.col("__docs") - 1 - F.col("__in")) / F.col("__n")).cast("long")
+    n = n.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("__x", F.col("epoch") * F.col("__n") + F.col("__in"))
+    n = n.withColumn("block", F.floor(F.col("__x") / block).cast("long")).withColumn("__at", F.col("__x") % block)
+    n = n.withColumn("__chunk", F.floor(F.col("block") / CHUNK).cast("long"))
     n = n.join(F.broadcast(chunks) if sum(map(len, slots.values())) <= LOCAL else chunks, ["__source", "__chunk"])
-    return n.withColumn("slot", F.element_at("__slots", (F.col("__j") % CHUNK + 1).cast("int")))
+    return n.withColumn("slot", F.element_at("__slots", (F.col("block") % CHUNK + 1).cast("int")))
 
 
 def _periodic(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, period: int, temperature: float) -> DataFrame:
@@ -168,7 +172,7 @@ def _periodic(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, flo
     period = sum(r[4] for r in rows)
     table = n.sparkSession.createDataFrame(rows, "__source string, __first long, __blocks long, __given long, __parts long, __slots array<int>")
     n = n.join(F.broadcast(table) if len(rows) <= 1000 else table, "__source").withColumn("__in", F.col("__row") - F.col("__first"))
-    n = n.withColumn("block", F.floor(F.col("__in") / block).cast("long"))
+    n = n.withColumn("block", F.floor(F.col("__in") / block).cast("long")).withColumn("__at", F.col("__in") % block)
     last = F.floor((F.col("__given") - 1 - F.col("block")) / F.col("__blocks")).cast("long")
     n = n.where(F.col("__given") > F.col("block")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     j = F.col("epoch") * F.col("__blocks") + F.col("block")
