@@ -47,3 +47,15 @@ def test_odd_rows(spark, odd, nothing):
     assert dc.leaks(nothing, items).count() == 0 and dc.leaks(odd, items.limit(0)).count() == 0
     assert dc.clean_documents(odd, items.limit(0)).count() == odd.count()
     assert dc.leaks(odd.withColumn("item_id", F.lit(1)), items).count() == 2
+
+
+def test_items_dense_in_numbers_and_names(spark):
+    items = [
+        (1, "Compute 12 + 7 * 3 - 5 / 2"), (2, "3 4 5 6 7 8 9 10 11 12"), (3, "John Smith, Mary Jones, Robert Brown and Zofia Nowak"), (4, "Why is the sky so blue"),
+        (5, "Values 12 kg 15 kg 18 kg 22 kg 31 kg 35 kg 40 kg 44 kg 52 kg"), (6, "Der Hund und die Katze im Haus"), (7, "What is 17 + 25 - 4 * 3"),
+    ]
+    texts = [f"He asked {t} and left." for _, t in items] + ["He asked: compute 14 + 9 * 6 - 8 / 4 now", "So, what is 11 + 32 - 5 * 7", "It weighs 3 kg and 5 kg, or 9 kg 11 kg 13 kg", "Anna Bell, Tom Hill, Hans Roth and Ivan Petrov met"]
+    got = found(spark, texts, items)
+    assert {(k, i) for k, (i, _) in enumerate(items)} <= {(d, i) for d, i, v in got if v}
+    assert {(7, 1, False), (8, 7, False)} <= set(got)
+    assert not {9, 10} & {d for d, _, _ in got}

@@ -4,19 +4,26 @@ Numbers, names and units of a text become typed placeholders: a number is a
 word that begins with a digit or is a number word (digits joined by one of
 ``.,:/-`` are one number); a unit is a word of a fixed list; a name is a
 capitalised word inside a sentence or a given name of a fixed list (names side
-by side are one).  Windows of ``window`` template tokens, at least half of them
-literal, are hashed; the windows of documents that pass a bitmap of the
-benchmark's windows are joined with those by hash.  Matches with the same
+by side are one).  Windows of ``window`` template tokens, two or more of them
+literal (one, if all tokens of the item must be covered and none of the window
+is a name), are hashed, and so are windows of ``window`` words as they are
+written, whatever their kinds; the windows of documents that pass a bitmap of
+the benchmark's windows are joined with those by hash.  Matches with the same
 distance between document and item position form an alignment; it counts if its
 slots are consistent: each value of the item stands for one value in the
 document and the reverse.  A document leaks an item when the consistent
 alignments cover ``least`` of the item's tokens (all, if it has fewer).  So
 items with other numbers, names or units are found as well as verbatim ones.
+Windows of words cover words, of which ``least`` (all, if the item has fewer) are
+needed too; so verbatim items are found however many numbers and names they
+have and wherever their sentences begin.  Items with other values are not found
+where a window must be covered that has fewer literals.
 
 The bitmap has a fixed size, whatever the benchmark's; it only saves work.
 
 Defined cases: null, empty and blank texts match nothing; items of fewer than
-``shortest`` tokens are not searched; an item shorter than a window is matched
+``shortest`` tokens are searched by their words only, and not at all if they have
+fewer than ``shortest`` words; an item shorter than a window is matched
 as a whole; documents with a null id are matched under that null; rows that
 repeat id and text are one document; repeated items each match; empty tables
 give no matches; other columns are carried or ignored.
@@ -41,6 +48,7 @@ UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gra
 GIVEN_NAMES = "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen daniel nancy matthew lisa anthony betty mark sandra donald ashley steven emily paul donna andrew michelle kevin carol brian amanda george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel alexander patrick jack dennis jerry alice anna bob carlos elena hans ivan juan julia laura maria marie natalia pierre sofia tom".split()
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _PLACE = tb.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_WORDS = np.uint64(0xA24BAED4963EE407)
 _QUIET = np.zeros(256, bool)
 _QUIET[[32, 44, 45, 39, 9]] = True
 _JOINS = np.zeros(256, bool)
@@ -60,13 +68,13 @@ _HINT = np.zeros(1 << 16, bool)
 _HINT[(_HASHES & np.uint64(0xFFFF)).astype(np.int64)] = True
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, kind (0: literal), code and value of each template token."""
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text number, kind (0: literal), code and value of each template token; text number and hash of each word."""
     low = tb.fold(data)
     start, end, doc = tb.word_spans(low, offsets)
     n = len(start)
     if not n:
-        return doc, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return doc, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), doc, np.zeros(0, np.uint64)
     h = tb.span_hashes(low, start, end)
     loud = np.concatenate([[0], np.cumsum(~_QUIET[data], dtype=np.int32)])
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
@@ -98,36 +106,44 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     value = np.add.reduceat(tb.mix(h + place.astype(np.uint64)), token) + kind[token].astype(np.uint64)
     k = kind[token]
     code = np.where(k == 0, h[token], _PLACE[k])
-    return doc[token], k, code, value
+    return doc[token], k, code, value, doc, h
 
 
-def windows(doc: np.ndarray, kind: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of each window within one text, at least half of it literal."""
+def windows(doc: np.ndarray, kind: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, hash and number of literals of each window within one text that has any."""
     n = len(code)
     if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = tb.mix(code + np.uint64(size))
     total = h[: n - size + 1].copy()
     for k in range(1, size):
         total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : n - size + 1 + k]
     literal = np.concatenate([[0], np.cumsum(kind == 0)])
-    at = np.flatnonzero((doc[size - 1 :] == doc[: n - size + 1]) & (2 * (literal[size:] - literal[:-size]) >= size))
-    return at, tb.mix(total[at])
+    literal = literal[size:] - literal[:-size]
+    at = np.flatnonzero((doc[size - 1 :] == doc[: n - size + 1]) & (literal > 0))
+    return at, tb.mix(total[at]), literal[at]
 
 
-def _emit(sizes: list[int], bitmap: np.ndarray | None, keys: int, as_items: bool):
+def _emit(sizes: list[int], bitmap: np.ndarray | None, keys: int, as_items: bool, least: int = LEAST):
+    """Windows of template tokens, and of -size words for negative sizes."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.utf8(batch.column(keys))
             for i, j in tb.chunks(offsets):
-                doc, kind, code, value = template(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                first = np.searchsorted(doc, doc)
-                length = np.bincount(doc, minlength=j - i)
-                slot = np.flatnonzero(kind)
-                for size in sizes:
-                    at, h = windows(doc, kind, code, size)
+                tokens, kinds, codes, value, words, hashes = template(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                streams = {True: (tokens, kinds, codes, np.flatnonzero(kinds)), False: (words, np.zeros(len(words), np.int8), hashes ^ _WORDS, np.zeros(0, np.int64))}
+                n_tokens = np.bincount(tokens, minlength=j - i)
+                firsts = {k: np.searchsorted(x[0], x[0]) for k, x in streams.items()}
+                for signed in sizes:
+                    size = abs(signed)
+                    (doc, kind, code, slot), first = streams[signed > 0], firsts[signed > 0]
+                    length = np.bincount(doc, minlength=j - i)
+                    at, h, literal = windows(doc, kind, code, size)
                     if as_items:  # a window as long as the item, or the usual length
-                        ok = (length[doc[at]] == size) if size < WINDOW else np.ones(len(at), bool)
+                        n = length[doc[at]]
+                        names = np.concatenate([[0], np.cumsum(kind == _NAME)])
+                        ok = ((n == size) | (size == WINDOW)) & ((literal >= 2) | (n <= least) & (names[at + size] == names[at]))
                         at, h = at[ok], h[ok]
                     elif bitmap is not None and len(at):
                         bit = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
@@ -140,14 +156,14 @@ def _emit(sizes: list[int], bitmap: np.ndarray | None, keys: int, as_items: bool
                     pick = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
                     slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value[slot[pick]].view(np.int64)))
                     rows = pa.array(doc[at] + i)
-                    out = [batch.column(k).take(rows) for k in range(keys)] + [pa.array((at - first[at]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(length[doc[at]].astype(np.int32)), pa.array(h.view(np.int64)), slots]
-                    yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:keys], "at", "size", "tokens", "hash", "slots"])
+                    out = [batch.column(k).take(rows) for k in range(keys)] + [pa.array((at - first[at]).astype(np.int32)), pa.array(np.full(len(at), signed, np.int32)), pa.array(n_tokens[doc[at]].astype(np.int32)), pa.array(length[doc[at]].astype(np.int32)), pa.array(h.view(np.int64)), slots]
+                    yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:keys], "at", "size", "tokens", "length", "hash", "slots"])
 
     return emit
 
 
 def _tail(*fields: T.StructField) -> T.StructType:
-    ints = [T.StructField(x, T.IntegerType()) for x in ("at", "size", "tokens")]
+    ints = [T.StructField(x, T.IntegerType()) for x in ("at", "size", "tokens", "length")]
     return T.StructType([*fields, *ints, T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))])
 
 
@@ -156,8 +172,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     from .storage import written
 
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    sizes = list(range(SHORTEST, WINDOW + 1))
-    items = written(items.mapInArrow(_emit(sizes, None, 1, True), _tail(T.StructField("item", items.schema["item"].dataType))), "items")
+    sizes = [x for k in range(SHORTEST, WINDOW + 1) for x in (k, -k)]
+    items = written(items.mapInArrow(_emit(sizes, None, 1, True, least), _tail(T.StructField("item", items.schema["item"].dataType))), "items")
     head = items.select("size", F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("bit")).distinct().toPandas()
     bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     bits = head["bit"].to_numpy(np.int64)
@@ -169,18 +185,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def matched(found: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """Leaks from the windows of documents and of items."""
-    i = items.select("item", F.col("at").alias("q"), F.col("tokens").alias("item_tokens"), "size", "hash", F.col("slots").alias("item_slots"))
+    i = items.select("item", F.col("at").alias("q"), F.col("tokens").alias("item_tokens"), "length", "size", "hash", F.col("slots").alias("item_slots"))
     d = found.select("id", "t", F.col("at").alias("p"), "size", "hash", "slots")
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    joined = d.join(i, ["hash", "size"]).select("id", "t", "item", "item_tokens", "size", "q", (F.col("p") - F.col("q")).alias("shift"), pairs.alias("pairs"))
-    line = joined.groupBy("id", "t", "item", "item_tokens", "size", "shift").agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    joined = d.join(i, ["hash", "size"]).select("id", "t", "item", "item_tokens", "length", "size", "q", (F.col("p") - F.col("q")).alias("shift"), pairs.alias("pairs"))
+    line = joined.groupBy("id", "t", "item", "item_tokens", "length", "size", "shift").agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side]))) == F.size("slots")
     sound = line.where(one_way("a") & one_way("b")).withColumn("verbatim", F.forall("slots", lambda x: x["a"] == x["b"]))
-    whole = sound.groupBy("id", "t", "item", "item_tokens", "size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("qs")))).alias("q"), F.min("verbatim").alias("verbatim"))
-    gaps = F.aggregate(F.zip_with(F.slice("q", 2, F.size("q")), F.slice("q", 1, F.greatest(F.size("q") - 1, F.lit(0))), lambda x, y: F.least(x - y, F.col("size"))), F.lit(0), lambda s, x: s + x)
-    covered = whole.select("id", "t", "item", "item_tokens", "verbatim", (gaps + F.col("size")).alias("covered"))
-    best = covered.groupBy("id", "t", "item", "item_tokens").agg(F.max("covered").alias("covered"), F.max("verbatim").alias("verbatim"))
-    return best.where(F.col("covered") >= F.least(F.lit(least), "item_tokens")).select(F.col("id").alias("doc_id"), "t", F.col("item").alias("item_id"), "covered", "item_tokens", "verbatim")
+    whole = sound.groupBy("id", "t", "item", "item_tokens", "length", "size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("qs")))).alias("q"), F.min("verbatim").alias("verbatim"))
+    gaps = F.aggregate(F.zip_with(F.slice("q", 2, F.size("q")), F.slice("q", 1, F.greatest(F.size("q") - 1, F.lit(0))), lambda x, y: F.least(x - y, F.abs("size"))), F.lit(0), lambda s, x: s + x)
+    covered = whole.select("id", "t", "item", "item_tokens", "length", "verbatim", (gaps + F.abs("size")).alias("covered")).where(F.col("covered") >= F.least(F.lit(least), "length"))
+    best = covered.groupBy("id", "t", "item", "item_tokens").agg(F.max(F.least("covered", "item_tokens")).alias("covered"), F.max("verbatim").alias("verbatim"))
+    return best.select(F.col("id").alias("doc_id"), "t", F.col("item").alias("item_id"), "covered", "item_tokens", "verbatim")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
