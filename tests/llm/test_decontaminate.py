@@ -59,3 +59,23 @@ def test_items_dense_in_numbers_and_names(spark):
     assert {(k, i) for k, (i, _) in enumerate(items)} <= {(d, i) for d, i, v in got if v}
     assert {(7, 1, False), (8, 7, False)} <= set(got)
     assert not {9, 10} & {d for d, _, _ in got}
+
+
+def test_near_copies_of_long_items(spark):
+    half = "red fox 5 runs over the old bridge while the tired miller counts sacks of grain in his barn and then walks home slowly"
+    item = f"Once a {half} before a new day when a {half} again"
+    other = item.replace(" 5 ", " 7 ")
+    changed = " 8 ".join(other.rsplit(" 7 ", 1))
+    equal = "a box holds 3 apples and 5 pears of which the girl takes a few home"
+    texts = ["So. " + " 6 ".join(item.rsplit(" 5 ", 1)), "So. " + changed, "So. " + equal.replace("3", "4").replace("5", "4")]
+    assert {(0, 1), (1, 1), (2, 2)} == {(d, i) for d, i, _ in found(spark, texts, [(1, item), (2, equal)])}
+
+
+def test_runs_without_contradiction():
+    windows = [(q, [(1, 10)] if q < 30 else [(1, 11)] if q > 37 else [(1, 10), (1, 11)] if q == 33 else []) for q in range(45)]
+    assert dc.consistent_runs(windows, 8, 26) == list(range(33))
+    assert dc.consistent_runs(windows, 8, 60) == []
+    assert dc.consistent_runs([(0, [(1, 2), (1, 3)])], 8, 8) == []
+    # equal item values of which one changes and changes back
+    back = [(q, [(1, 3 if q == 20 else 2)]) for q in range(40)]
+    assert dc.consistent_runs(back, 8, 26) == [*range(20), *range(21, 40)]

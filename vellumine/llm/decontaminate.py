@@ -11,7 +11,10 @@ written, whatever their kinds; the windows of documents that pass a bitmap of
 the benchmark's windows are joined with those by hash.  Matches with the same
 distance between document and item position form an alignment; it counts if its
 slots are consistent: each value of the item stands for one value in the
-document and the reverse.  A document leaks an item when the consistent
+document (two values may become equal).  Of an alignment that contradicts itself
+only the longest consistent runs of windows count, and only those of twice
+``least`` tokens, as parts of a long item with some values changed; its verbatim
+runs count as words.  A document leaks an item when the consistent
 alignments cover ``least`` of the item's tokens (all, if it has fewer).  So
 items with other numbers, names or units are found as well as verbatim ones.
 Windows of words cover words, of which ``least`` (all, if the item has fewer) are
@@ -31,6 +34,7 @@ give no matches; other columns are carried or ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,6 +166,40 @@ def _emit(sizes: list[int], bitmap: np.ndarray | None, keys: int, as_items: bool
     return emit
 
 
+def consistent_runs(windows: list, size: int, least: int) -> list[int]:
+    """Positions of the windows in maximal runs without contradiction that cover ``least`` tokens; windows: (q, pairs)."""
+    windows = sorted(windows, key=lambda w: w[0])
+    kept: set[int] = set()
+    held: dict[int, Counter] = {}
+    lo, clashes = 0, 0
+
+    def keep(hi: int) -> None:
+        q = [w[0] for w in windows[lo:hi]]
+        if q and size + sum(min(y - x, size) for x, y in zip(q, q[1:], strict=False)) >= least:
+            kept.update(q)
+
+    for hi, (_, pairs) in enumerate(windows):
+        new = [(a, b) for a, b in pairs if a not in held or b not in held[a] or len(held[a]) > 1]
+        if any(a in held for a, _ in new):
+            keep(hi)
+        for a, b in pairs:
+            c = held.setdefault(a, Counter())
+            clashes += b not in c and len(c) > 0
+            c[b] += 1
+        while clashes:
+            for a, b in windows[lo][1]:
+                c = held[a]
+                c[b] -= 1
+                if not c[b]:
+                    del c[b]
+                    clashes -= len(c) > 0
+                if not c:
+                    del held[a]
+            lo += 1
+    keep(len(windows))
+    return sorted(kept)
+
+
 def _tail(*fields: T.StructField) -> T.StructType:
     ints = [T.StructField(x, T.IntegerType()) for x in ("at", "size", "tokens", "length")]
     return T.StructType([*fields, *ints, T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))])
@@ -189,9 +227,14 @@ def matched(found: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame
     d = found.select("id", "t", F.col("at").alias("p"), "size", "hash", "slots")
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     joined = d.join(i, ["hash", "size"]).select("id", "t", "item", "item_tokens", "length", "size", "q", (F.col("p") - F.col("q")).alias("shift"), pairs.alias("pairs"))
-    line = joined.groupBy("id", "t", "item", "item_tokens", "length", "size", "shift").agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
-    one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side]))) == F.size("slots")
-    sound = line.where(one_way("a") & one_way("b")).withColumn("verbatim", F.forall("slots", lambda x: x["a"] == x["b"]))
+    line = joined.groupBy("id", "t", "item", "item_tokens", "length", "size", "shift").agg(F.collect_set(F.struct("q", "pairs")).alias("windows"))
+    line = line.withColumn("slots", F.array_distinct(F.flatten(F.col("windows.pairs"))))
+    agrees = F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots")
+    runs = F.udf(lambda windows, size: windows and consistent_runs(windows, abs(size), 2 * least), T.ArrayType(T.IntegerType()))
+    long = F.size("windows") * F.abs("size") >= 2 * least
+    line = line.withColumn("agrees", agrees).withColumn("runs", runs(F.when(~agrees & long, F.col("windows")), "size"))
+    sound = line.withColumn("qs", F.when(F.col("agrees"), F.col("windows.q")).otherwise(F.col("runs"))).where(F.size("qs") > 0)
+    sound = sound.withColumn("verbatim", F.col("agrees") & F.forall("slots", lambda x: x["a"] == x["b"]))
     whole = sound.groupBy("id", "t", "item", "item_tokens", "length", "size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("qs")))).alias("q"), F.min("verbatim").alias("verbatim"))
     gaps = F.aggregate(F.zip_with(F.slice("q", 2, F.size("q")), F.slice("q", 1, F.greatest(F.size("q") - 1, F.lit(0))), lambda x, y: F.least(x - y, F.abs("size"))), F.lit(0), lambda s, x: s + x)
     covered = whole.select("id", "t", "item", "item_tokens", "length", "verbatim", (gaps + F.abs("size")).alias("covered")).where(F.col("covered") >= F.least(F.lit(least), "length"))
