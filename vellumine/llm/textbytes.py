@@ -1,8 +1,11 @@
 """Vectorised views of Arrow string columns: bytes, words and word hashes.
 
-A word is a longest run of ASCII letters, digits and bytes of non-ASCII
-characters; letters are folded to lower case (ASCII and Latin-1).  Every
-function takes whole texts; nulls count as empty texts.
+A word is a longest run of ASCII letters, digits and non-ASCII characters that
+are no punctuation, space or symbol (the blocks of general punctuation to
+symbols, U+2000 to U+2BFF, Latin-1 signs, CJK and full-width punctuation, emoji);
+in scripts written without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) every
+character is a word.  Letters are folded to lower case (ASCII and Latin-1).
+Every function takes whole texts; nulls count as empty texts.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE0, 0xE1, 0xE2, 0xEF, 0xF0]] = _LEADS[0xE3:0xEA] = True
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -77,15 +82,37 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((c[end] - c[start]) * _powers[1][start])
 
 
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes belong to words; first bytes and lengths of the characters that are words by themselves."""
+    w = WORD[data]
+    at = np.flatnonzero(_LEADS[data])
+    if not len(at):
+        return w, at, at
+    end = len(data) - 1
+    a, b, c = data[at], data[np.minimum(at + 1, end)], data[np.minimum(at + 2, end)]
+    size = np.where(a < 0xE0, 2, np.where(a < 0xF0, 3, 4))
+    wide = (b == 0xBC) & ((c < 0x90) | (c >= 0x9A) & (c <= 0xA0) | (c >= 0xBB)) | (b == 0xBD) & ((c == 0x80) | (c >= 0x9B) & (c <= 0xA5)) | (b == 0xBB) & (c == 0xBF) | (b == 0xBF) | (b == 0xB8)
+    mark = (
+        (a == 0xC2) & (b != 0xAA) & (b != 0xB5) & (b != 0xBA) | (a == 0xE2) & (b < 0xB0) | (a == 0xE3) & (b == 0x80) & ((c < 0x85) | (c > 0x87))
+        | (a == 0xEF) & wide | (a == 0xF0) & (b == 0x9F)
+    )
+    for k in range(4):
+        w[np.minimum(at[mark & (size > k)] + k, end)] = False
+    single = ~mark & ((a >= 0xE3) & (a <= 0xE9) | (a == 0xF0) & (b >= 0xA0) & (b < 0xB0) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F)))
+    return w, at[single], size[single]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each word, in order."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    w = WORD[data]
+    w, at, size = word_bytes(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    edge[at] = True
+    edge[np.minimum(at + size, n)] = True
     gap = np.ones(n + 1, bool)
     gap[1:] = ~w
     start = np.flatnonzero(w & (gap[:n] | edge[:n]))
