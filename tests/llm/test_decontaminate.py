@@ -1,4 +1,7 @@
+import functools
+import random
 import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -19,10 +22,7 @@ def test_templates_slots_and_windows(spark):
         "Before it. " + ITEM + ". After it.", "So. " + other, "So. " + other.replace("gives 7", "gives 8"), "He has apples and gives some to her in town.", ITEM.upper(), "And " + ITEM[:40], None, "", "x: why is the sky so blue now", "why is the sea so blue",
         " ".join(["12 km"] * 40),
     ]
-    got = found(spark, texts)
-    assert (0, 1, True) in got and (1, 1, False) in got
-    assert {d for d, _, _ in got} == {0, 1, 4, 8} or {d for d, _, _ in got} == {0, 1, 8}
-    assert got.count((8, 5, True)) == 1
+    assert found(spark, texts) == [(0, 1, True), (1, 1, False), (4, 1, True), (8, 5, True)]
 
 
 def test_all_verbatim_items_of_the_data(spark):
@@ -79,3 +79,143 @@ def test_runs_without_contradiction():
     # equal item values of which one changes and changes back
     back = [(q, [(1, 3 if q == 20 else 2)]) for q in range(40)]
     assert dc.consistent_runs(back, 8, 26) == [*range(20), *range(21, 40)]
+
+
+def slow_tokens(text):
+    """Words, and (kind, literal or value, opens) of each token, by regular expressions."""
+    words = []
+    for m in re.finditer(r"[^\W_]+", text):
+        cut = re.fullmatch(r"(\d\w*?)([^\W\d_]+)", m[0])
+        if cut and cut[1].isdigit() and cut[2].lower() in dc.UNITS + dc.UNITS_AFTER_NUMBERS:
+            middle = m.start() + len(cut[1])
+            words += [(cut[1], m.start(), middle), (cut[2], middle, m.end())]
+        else:
+            words.append((m[0], m.start(), m.end()))
+    out, prior = [], (None, 0, 0)
+    for k, (w, a, b) in enumerate(words):
+        gap = text[prior[2] : a] if k else ""
+        opens, low = k == 0 or re.search(r"[^ ,\-'\t]", gap) is not None, w.lower()
+        last = out[-1][0] if out else None
+        kind = "NUMBER" if w[0].isdigit() or low in dc.NUMBER_WORDS else "UNIT" if low in dc.UNITS else None
+        if kind is None and low in dc.UNITS_AFTER_NUMBERS and k and last == "NUMBER" and len(gap) <= 1:
+            kind = "UNIT"
+        elif kind is None and re.fullmatch(r"[A-ZÀ-Þ][a-zà-ÿ].*", w) and low not in dc.FUNCTION_WORDS + dc.UNITS_AFTER_NUMBERS:
+            kind = "NAME"
+        spelled = not w[0].isdigit()
+        if k and kind == last and len(gap) == 1 and (kind == "NUMBER" and (gap in ",.-/:" or spelled and gap == " ") or kind == "NAME" and gap == " "):
+            out[-1] = (kind, out[-1][1] + " " + low, False)
+        else:
+            out.append((kind, low, opens and kind == "NAME"))
+        prior = (w, a, b)
+    return [w.lower() for w, _, _ in words], out
+
+
+@functools.cache
+def slow_windows(text, size, least):
+    """(stream, position, key, slots, literals, has a name) of every window in every reading."""
+    words, tokens = slow_tokens(text)
+    out = [("words", k, tuple(words[k : k + size]), (), size, False) for k in range(len(words) - size + 1)]
+    for k in range(len(tokens) - size + 1):
+        for second in (False, True):
+            part = [(kind if second or not opens else None, v, opens) for kind, v, opens in tokens[k : k + size]]
+            if second and not any(o for _, _, o in part):
+                continue
+            kinds = [x for x, _, _ in part]
+            out.append(("tokens", k, tuple(x or v for x, v, _ in part), tuple(v for x, v, _ in part if x), kinds.count(None), "NAME" in kinds))
+    return [x for x in out if x[4] > 0], {"words": len(words), "tokens": len(tokens)}
+
+
+def slow_leaks(docs, items, least=dc.LEAST):
+    found = {}
+    for item, text in items:
+        for size in range(1, dc.WINDOW + 1):
+            windows, lengths = slow_windows(text, size, least)
+            index = defaultdict(list)
+            for stream, q, key, slots, literals, name in windows:
+                n = lengths[stream]
+                long_enough = n == size or size == dc.WINDOW
+                if long_enough and (stream == "words" or size >= dc.TEMPLATE_SHORTEST and (literals >= 2 or n <= least and not name)):
+                    index[stream, key].append((q, slots))
+            for doc, body in docs:
+                lines = defaultdict(set)
+                for stream, p, key, slots, _, _ in slow_windows(body, size, least)[0]:
+                    for q, own in index.get((stream, key), ()):
+                        lines[stream, p - q].add((q, tuple(zip(own, slots, strict=True))))
+                for stream in ("words", "tokens"):
+                    covered, verbatim = set(), False
+                    for (s, _), line in lines.items():
+                        if s != stream:
+                            continue
+                        pairs = {x for _, z in line for x in z}
+                        if len({a for a, _ in pairs}) == len(pairs):
+                            covered |= {q for q, _ in line}
+                            verbatim |= all(a == b for a, b in pairs)
+                        else:  # every stretch without contradiction
+                            qs = sorted({q for q, _ in line})
+                            for i in range(len(qs)):
+                                for j in range(i, len(qs)):
+                                    inside = {x for q, z in line if qs[i] <= q <= qs[j] for x in z}
+                                    tokens = {t for q in qs[i : j + 1] for t in range(q, q + size)}
+                                    if len({a for a, _ in inside}) == len(inside) and len(tokens) >= 2 * least:
+                                        covered |= set(qs[i : j + 1])
+                    n = len({t for q in covered for t in range(q, q + size)})
+                    if covered and n >= min(least, lengths[stream]):
+                        old = found.get((doc, item), (0, False))
+                        found[doc, item] = (max(old[0], min(n, lengths["tokens"])), old[1] or verbatim)
+    return found
+
+
+def test_re_parameterised_items_equal_a_slow_model(spark):
+    rng = random.Random(4)
+    names, units = ["Priya", "James", "Zofia Nowak", "Ivan", "Li", "Karl Maria"], ["km", "bushels", "Stunden", "heures", "kg", "m"]
+    plain = "walks reads carries counts old river market basket slowly near behind apples stones letters before noon and with the then gives takes".split()
+
+    def sentence(values):
+        who, other, n, m, unit, tail = values
+        return f"{who} {tail[0]} {n} {tail[1]} {tail[2]} and {tail[3]} {m} {unit} {tail[4]} with {other} {tail[5]} the {tail[6]} {tail[7]}"
+
+    def values(tail):
+        number = lambda: rng.choice([str(rng.randint(2, 99)), "twenty three", "7.5", "1,200", "zwanzig"])
+        return (rng.choice(names), rng.choice(names), number(), number(), rng.choice(units), tail)
+
+    items, docs = [], []
+    for k in range(12):
+        tails = [[rng.choice(plain) for _ in range(8)] for _ in range(rng.randint(1, 3))]
+        items.append((k, ". ".join(sentence(values(t)) for t in tails) + "."))
+        for _ in range(4):
+            text = ". ".join(sentence(values(t)) for t in tails)
+            docs.append((len(docs), rng.choice(["", "So, ", "He said that ", "Well. "]) + text + rng.choice([".", " and then some more", ". The end"])))
+        docs.append((len(docs), "Hm: " + items[-1][1].replace(" km", "km")))
+        docs.append((len(docs), "It is " + " ".join(rng.choice(plain) for _ in range(30))))
+    items += [(90, "Is water wet?"), (91, "12 + 34 = 46 and 5 * 6 = 30"), (92, "Yes")]
+    docs += [(len(docs), "They ask, is water wet, and why."), (len(docs) + 1, "so 12 + 34 = 46 and 5 * 6 = 30 holds"), (len(docs) + 2, "Yes, of course")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.verbatim) for r in dc.leaks(df, bench).collect()}
+    want = slow_leaks(docs, items)
+    assert got == want
+    reworded = {d for (d, i), (_, v) in got.items() if not v}
+    assert len(reworded) >= 24 and all(i in {x for d, x in got if d == len(docs) - 3 + k} for k, i in enumerate((90, 91, 92)))
+
+
+def test_other_spellings_of_numbers_units_and_names(spark):
+    items = [(1, "Priya drives 60 km to the coast and 23 bushels of wheat are on the truck"), (2, "Quelle distance parcourt James en 3 heures avec son grand vélo rouge neuf"), (3, "Wie weit fährt Hans in 5 Stunden mit dem alten roten Fahrrad nach Hause"), (4, "Cuánto gana Ana en 4 días de trabajo si ahorra 20 euros cada noche fría")]
+    texts = ["James drives 75km to the coast and twenty three bushels of wheat are on the truck", "Then Zofia drives 60km to the coast and 23 tons of wheat are on the truck", "quelle distance parcourt Marie en sept jours avec son grand vélo rouge neuf", "Gut. Wie weit fährt Priya in drei Tagen mit dem alten roten Fahrrad nach Hause", "cuánto gana Luis en diez semanas de trabajo si ahorra 9 dólares cada noche fría"]
+    assert {(d, i) for d, i, _ in found(spark, texts, items)} == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_long_texts_and_clashing_names(spark):
+    text = "filler words go on and on " * 50_000 + ITEM + " more filler" * 1000
+    docs = spark.createDataFrame([(1, text, "a", 1, "b", "c"), (2, "other", "a", 1, "b", "c")], "doc_id long, text string, __hash string, t long, `__id` string, item_id string")
+    items = spark.createDataFrame([(*x, "h", 1) for x in ITEMS], "item_id long, text string, hash string, size long")
+    assert [(r.doc_id, r.item_id) for r in dc.leaks(docs, items).collect()] == [(1, 1)]
+    kept = dc.clean_documents(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2] and kept.first()["__hash"] == "a"
+
+
+def test_bitmap_holds_all_hashes(spark):
+    rng = random.Random(2)
+    hashes = [rng.getrandbits(64) - 2**63 for _ in range(500)]
+    bitmap = dc.bitmap_of(spark.createDataFrame([(h,) for h in hashes], "hash long"))
+    assert bitmap.size == 1 << (dc.MAP_BITS[0] - 3)
+    bit = [(h % 2**64) >> (64 - dc.MAP_BITS[0]) for h in hashes]
+    assert all(bitmap[b >> 3] >> (b & 7) & 1 for b in bit) and sum(int(x).bit_count() for x in bitmap) == len(set(bit))

@@ -1,12 +1,16 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, names and units of a text become typed placeholders: a number is a
+Numbers, names and units of a text become typed placeholders.  A number is a
 word that begins with a digit or is a number word (digits joined by one of
-``.,:/-`` are one number); a unit is a word of a fixed list; a name is a
-capitalised word inside a sentence or a given name of a fixed list (names side
-by side are one).  Windows of ``window`` template tokens, two or more of them
-literal (one, if all tokens of the item must be covered and none of the window
-is a name), are hashed, and so are windows of ``window`` words as they are
+``.,:/-`` and number words side by side are one number); digits and a unit
+written together are two words.  A unit is a word of a fixed list for English,
+French, German and Spanish; some short ones count only after a number.  A name
+is a capitalised word inside a sentence that is no function word (names side by
+side are one); a capitalised word that opens a sentence is read both ways, as a
+literal and as a name, so no list of names is needed.  Windows of ``window``
+template tokens, two or more of them literal (one, if all tokens of the item
+must be covered and none of the window is a name), are hashed, in both readings
+where they differ, and so are windows of ``window`` words as they are
 written, whatever their kinds; the windows of documents that pass a bitmap of
 the benchmark's windows are joined with those by hash.  Matches with the same
 distance between document and item position form an alignment; it counts if its
@@ -18,22 +22,25 @@ runs count as words.  A document leaks an item when the consistent
 alignments cover ``least`` of the item's tokens (all, if it has fewer).  So
 items with other numbers, names or units are found as well as verbatim ones.
 Windows of words cover words, of which ``least`` (all, if the item has fewer) are
-needed too; so verbatim items are found however many numbers and names they
-have and wherever their sentences begin.  Items with other values are not found
-where a window must be covered that has fewer literals.
-
-The bitmap has a fixed size, whatever the benchmark's; it only saves work.
-
-Defined cases: null, empty and blank texts match nothing; items of fewer than
-``shortest`` tokens are searched by their words only, and not at all if they have
-fewer than ``shortest`` words; an item shorter than a window is matched
-as a whole; documents with a null id are matched under that null; rows that
-repeat id and text are one document; repeated items each match; empty tables
-give no matches; other columns are carried or ignored.
+needed too; so verbatim items are found however short they are, however many
+numbers and names they have and wherever their sentences begin.  With other values
+an item needs ``TEMPLATE_SHORTEST`` tokens, and is not found where a window must be
+covered that has fewer literals, or that holds one opening word in each reading.
+In texts that capitalise nouns, nouns are placeholders too.
+
+The bitmap has about sixteen bits a window of the benchmark, within bounds; it
+only saves work.
+
+Defined cases: null, empty and blank texts match nothing; an item shorter than a
+window is matched as a whole; documents with a null id are matched under that
+null; rows that repeat id and text are one document; repeated items each match;
+empty tables give no matches; other columns, whatever their names, are carried
+or ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,13 +51,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-
-WINDOW, LEAST, SHORTEST = 8, 13, 5
-MAP_BITS = 22
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
-UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp percent degrees celsius fahrenheit kmh mph watt watts volt volts amp amps joule joules newton newtons".split()
-GIVEN_NAMES = "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen daniel nancy matthew lisa anthony betty mark sandra donald ashley steven emily paul donna andrew michelle kevin carol brian amanda george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel alexander patrick jack dennis jerry alice anna bob carlos elena hans ivan juan julia laura maria marie natalia pierre sofia tom".split()
-_NUMBER, _NAME, _UNIT = 1, 2, 3
+from .columns import col, free, named
+
+WINDOW, LEAST, TEMPLATE_SHORTEST = 8, 13, 5
+MAP_BITS = (22, 29)
+_TENS = "zwanzig dreißig dreissig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million millions billion billions dozen half twice "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante mille milliard milliards demi "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn hundert tausend millionen milliarde milliarden dutzend halb "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento cientos mil millón millones media medio"
+).split() + _TENS + [u + "und" + t for u in "ein zwei drei vier fünf sechs sieben acht neun".split() for t in _TENS]
+UNITS = (
+    "mm cm km kg ml mg kmh mph inch inches foot feet yard yards mile miles gram grams kilogram kilograms kilo kilos ton tons tonne tonnes pound pounds ounce ounces litre litres liter liters gallon gallons pint pints quart quarts bushel bushels acre acres hectare hectares second seconds minute minutes hour hours day days week weeks month months year years decade decades century centuries dollar dollars dólar dólares cent cents euro euros usd eur gbp percent degree degrees celsius fahrenheit kelvin watt watts volt volts amp amps joule joules newton newtons metre metres meter meters centimetre centimetres centimeter centimeters kilometre kilometres kilometer kilometers byte bytes kilobyte kilobytes megabyte megabytes gigabyte gigabytes hertz kwh knots calorie calories "
+    "jour jours heure heures seconde secondes semaine semaines mois année années mètre mètres kilomètre kilomètres centimètre centimètres gramme grammes kilogramme kilogrammes centime centimes pourcent livre livres "
+    "tag tage tagen stunde stunden minuten sekunde sekunden woche wochen monat monate monaten jahr jahre jahren gramm kilogramm prozent pfund zentimeter tonnen "
+    "día días hora horas minuto minutos segundo segundos semanas meses año años metro metros kilómetro kilómetros centímetro centímetros gramo gramos kilogramo kilogramos litro litros tonelada toneladas céntimo céntimos centavo centavos peso pesos libra libras grado grados"
+).split()
+UNITS_AFTER_NUMBERS = "m g l h s t w v a k ms ns hz khz mhz ghz gb mb kb tb lb lbs oz ft yd mi pa kpa bar bars an ans mes min sec hr hrs hz kw mw cv ha nm pt".split()
+FUNCTION_WORDS = (
+    "a an the this that these those i you he she it we they my your his her its our their who whom whose which what when where why how if then than there here in on at by for from to of with without and or but so as is are was were be been do does did has have had can could will would shall should may might must not no yes all each every some any both after before once while during since until because although though let given suppose assume find compute calculate show prove "
+    "le la les l un une des du de d et ou mais donc or ni car ce cet cette ces il elle on nous vous ils elles je tu mon ma mes son sa ses leur leurs notre votre qui que quoi dont où quand comment pourquoi combien si dans sur sous par pour avec sans en au aux est sont était a ont chaque tout tous toute toutes "
+    "der die das den dem des ein eine einen einem einer eines und oder aber denn wenn als wie wo wer was wann warum ich du er sie es wir ihr mein dein sein unser euer in im an am auf aus bei mit nach von vom zu zum zur für durch über unter vor ist sind war waren hat haben hatte kann nicht kein keine jede jeder jedes alle "
+    "el los las una unos unas y o pero porque si cuando donde como quien que cual cuanto cuantos en con sin por para desde hasta entre sobre es son era fue ha han hay no se su sus mi tu nuestro ella ellos ellas yo él cada todo todos toda todas al del"
+).split()
+_NUMBER, _NAME, _UNIT, _AFTER, _FUNCTION = 1, 2, 3, 4, 5
 _PLACE = tb.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _WORDS = np.uint64(0xA24BAED4963EE407)
 _QUIET = np.zeros(256, bool)
@@ -60,11 +85,11 @@ _JOINS[[44, 45, 46, 47, 58]] = True
 
 
 def _listed() -> tuple[np.ndarray, np.ndarray]:
-    words = [(w, k) for k, x in ((_NUMBER, NUMBER_WORDS), (_UNIT, UNITS), (_NAME, GIVEN_NAMES)) for w in x]
-    data, offsets = tb.utf8(pa.array([w for w, _ in words]))
+    kinds = {w: k for k, x in ((_FUNCTION, FUNCTION_WORDS), (_AFTER, UNITS_AFTER_NUMBERS), (_UNIT, UNITS), (_NUMBER, NUMBER_WORDS)) for w in x}
+    data, offsets = tb.utf8(pa.array(kinds))
     h = tb.span_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(h)
-    return h[order], np.array([k for _, k in words], np.int8)[order]
+    return h[order], np.array(list(kinds.values()), np.int8)[order]
 
 
 _HASHES, _KINDS = _listed()
@@ -72,13 +97,43 @@ _HINT = np.zeros(1 << 16, bool)
 _HINT[(_HASHES & np.uint64(0xFFFF)).astype(np.int64)] = True
 
 
+def _kinds_of(h: np.ndarray) -> np.ndarray:
+    """The listed kind of each word hash, or 0."""
+    kind = np.zeros(len(h), np.int8)
+    maybe = np.flatnonzero(_HINT[(h & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(_HASHES, h[maybe]), len(_HASHES) - 1)
+    hit = _HASHES[at] == h[maybe]
+    kind[maybe[hit]] = _KINDS[at[hit]]
+    return kind
+
+
+def _split(low: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words such as 60km cut between digits and unit."""
+    digit = (low >= 48) & (low <= 57)
+    mixed = np.flatnonzero(digit[start] & ~digit[end - 1])
+    if not len(mixed):
+        return start, end, doc
+    other = np.flatnonzero(~digit)
+    middle = other[np.searchsorted(other, start[mixed])]
+    unit = np.isin(_kinds_of(tb.span_hashes(low, middle, end[mixed])), (_UNIT, _AFTER))
+    mixed, middle = mixed[unit], middle[unit]
+    new_end = end.copy()
+    new_end[mixed] = middle
+    return np.insert(start, mixed + 1, middle), np.insert(new_end, mixed + 1, end[mixed]), np.insert(doc, mixed + 1, doc[mixed])
+
+
 def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text number, kind (0: literal), code and value of each template token; text number and hash of each word."""
+    """Of each template token the text number, kind (0: literal) and code in both readings, and value; text number and hash of each word.
+
+    The readings differ in capitalised words that open sentences: literals in the first, names in the second.
+    """
     low = tb.fold(data)
     start, end, doc = tb.word_spans(low, offsets)
+    if not len(start):
+        z = np.zeros(0, np.uint64)
+        return doc, np.zeros(0, np.int8), z, np.zeros(0, np.int8), z, z, doc, z
+    start, end, doc = _split(low, start, end, doc)
     n = len(start)
-    if not n:
-        return doc, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), doc, np.zeros(0, np.uint64)
     h = tb.span_hashes(low, start, end)
     loud = np.concatenate([[0], np.cumsum(~_QUIET[data], dtype=np.int32)])
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
@@ -95,22 +150,25 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     ascii_name = (a >= 65) & (a <= 90) & small(start + 1)
     second = np.minimum(start + 1, end_of_data)
     latin_name = (a == 0xC3) & (low[second] != data[second]) & small(start + 2)
-    kind = np.zeros(n, np.int8)
-    kind[(ascii_name | latin_name) & ~opens] = _NAME
-    kind[(a >= 48) & (a <= 57)] = _NUMBER
-    maybe = np.flatnonzero(_HINT[(h & np.uint64(0xFFFF)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(_HASHES, h[maybe]), len(_HASHES) - 1)
-    hit = _HASHES[at] == h[maybe]
-    kind[maybe[hit]] = _KINDS[at[hit]]
+    kind = _kinds_of(h)
+    number = (a >= 48) & (a <= 57)
+    kind[number] = _NUMBER
+    spelled = (kind == _NUMBER) & ~number
+    after = np.concatenate([[False], kind[:-1] == _NUMBER]) & ~first & (gap <= 1)
+    kind[kind == _AFTER] = np.where(after[kind == _AFTER], _UNIT, 0)
+    capital = (ascii_name | latin_name) & (kind == 0)
+    kind[kind == _FUNCTION] = 0
+    kind[capital] = _NAME
     joiner = data[np.maximum(start - 1, 0)]
     same = np.concatenate([[False], kind[1:] == kind[:-1]]) & ~first & (gap == 1)
-    joined = same & ((kind == _NUMBER) & _JOINS[joiner] | (kind == _NAME) & (joiner == 32))
+    joined = same & ((kind == _NUMBER) & (_JOINS[joiner] | spelled & (joiner == 32)) | (kind == _NAME) & (joiner == 32))
     token = np.flatnonzero(~joined)
-    place = np.arange(n) - np.repeat(token, np.diff(np.append(token, n)))
+    size = np.diff(np.append(token, n))
+    place = np.arange(n) - np.repeat(token, size)
     value = np.add.reduceat(tb.mix(h + place.astype(np.uint64)), token) + kind[token].astype(np.uint64)
-    k = kind[token]
-    code = np.where(k == 0, h[token], _PLACE[k])
-    return doc[token], k, code, value, doc, h
+    named_ = kind[token]
+    literal = np.where(capital[token] & opens[token] & (size == 1), 0, named_).astype(np.int8)
+    return doc[token], literal, np.where(literal == 0, h[token], _PLACE[literal]), named_, np.where(named_ == 0, h[token], _PLACE[named_]), value, doc, h
 
 
 def windows(doc: np.ndarray, kind: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,38 +188,42 @@ def windows(doc: np.ndarray, kind: np.ndarray, code: np.ndarray, size: int) -> t
 
 def _emit(sizes: list[int], bitmap: np.ndarray | None, keys: int, as_items: bool, least: int = LEAST):
     """Windows of template tokens, and of -size words for negative sizes."""
+    map_bits = 0 if bitmap is None else int(bitmap.size * 8).bit_length() - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.utf8(batch.column(keys))
             for i, j in tb.chunks(offsets):
-                tokens, kinds, codes, value, words, hashes = template(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                streams = {True: (tokens, kinds, codes, np.flatnonzero(kinds)), False: (words, np.zeros(len(words), np.int8), hashes ^ _WORDS, np.zeros(0, np.int64))}
+                tokens, kinds, codes, kinds2, codes2, value, words, hashes = template(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n_tokens = np.bincount(tokens, minlength=j - i)
-                firsts = {k: np.searchsorted(x[0], x[0]) for k, x in streams.items()}
-                for signed in sizes:
-                    size = abs(signed)
-                    (doc, kind, code, slot), first = streams[signed > 0], firsts[signed > 0]
-                    length = np.bincount(doc, minlength=j - i)
-                    at, h, literal = windows(doc, kind, code, size)
-                    if as_items:  # a window as long as the item, or the usual length
-                        n = length[doc[at]]
-                        names = np.concatenate([[0], np.cumsum(kind == _NAME)])
-                        ok = ((n == size) | (size == WINDOW)) & ((literal >= 2) | (n <= least) & (names[at + size] == names[at]))
-                        at, h = at[ok], h[ok]
-                    elif bitmap is not None and len(at):
-                        bit = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                        ok = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                differs = np.concatenate([[0], np.cumsum(kinds != kinds2)])
+                streams = [(True, tokens, kinds, codes, False), (True, tokens, kinds2, codes2, True), (False, words, np.zeros(len(words), np.int8), hashes ^ _WORDS, False)]
+                for of_tokens, doc, kind, code, other in streams:
+                    first, slot, length = np.searchsorted(doc, doc), np.flatnonzero(kind), np.bincount(doc, minlength=j - i)
+                    for signed in sizes:
+                        if (signed > 0) != of_tokens:
+                            continue
+                        size = abs(signed)
+                        at, h, literal = windows(doc, kind, code, size)
+                        if as_items:  # a window as long as the item, or the usual length
+                            n = length[doc[at]]
+                            names = np.concatenate([[0], np.cumsum(kind == _NAME)])
+                            ok = ((n == size) | (size == WINDOW)) & ((literal >= min(2, size)) | (n <= least) & (names[at + size] == names[at]))
+                        else:
+                            bit = (h >> np.uint64(64 - map_bits)).astype(np.int64)
+                            ok = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        if other:
+                            ok &= differs[at + size] > differs[at]
                         at, h = at[ok], h[ok]
-                    if not len(at):
-                        continue
-                    lo, hi = np.searchsorted(slot, at), np.searchsorted(slot, at + size)
-                    count = hi - lo
-                    pick = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-                    slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value[slot[pick]].view(np.int64)))
-                    rows = pa.array(doc[at] + i)
-                    out = [batch.column(k).take(rows) for k in range(keys)] + [pa.array((at - first[at]).astype(np.int32)), pa.array(np.full(len(at), signed, np.int32)), pa.array(n_tokens[doc[at]].astype(np.int32)), pa.array(length[doc[at]].astype(np.int32)), pa.array(h.view(np.int64)), slots]
-                    yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:keys], "at", "size", "tokens", "length", "hash", "slots"])
+                        if not len(at):
+                            continue
+                        lo, hi = np.searchsorted(slot, at), np.searchsorted(slot, at + size)
+                        count = hi - lo
+                        pick = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+                        slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value[slot[pick]].view(np.int64)))
+                        rows = pa.array(doc[at] + i)
+                        out = [batch.column(k).take(rows) for k in range(keys)] + [pa.array((at - first[at]).astype(np.int32)), pa.array(np.full(len(at), signed, np.int32)), pa.array(n_tokens[doc[at]].astype(np.int32)), pa.array(length[doc[at]].astype(np.int32)), pa.array(h.view(np.int64)), slots]
+                        yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:keys], "at", "size", "tokens", "length", "hash", "slots"])
 
     return emit
 
@@ -205,19 +267,37 @@ def _tail(*fields: T.StructField) -> T.StructType:
     return T.StructType([*fields, *ints, T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """Columns doc_id, t (hash of the text), item_id, covered, item_tokens, verbatim, one row per leak."""
+def _bits_of(key: tuple, table: pa.Table) -> pa.Table:
+    bit = table["bit"].to_numpy() & ((1 << 18) - 1)
+    part = np.zeros(1 << 15, np.uint8)
+    np.bitwise_or.at(part, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
+
+
+def bitmap_of(items: DataFrame) -> np.ndarray:
+    """A bit for the first bits of each window hash; the parts are made in tasks, 2^29 bits (64 MB) come to the driver at most."""
+    bits = min(max(math.ceil(math.log2(16 * max(1, items.count()))), MAP_BITS[0]), MAP_BITS[1])
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    keyed = items.select(F.shiftrightunsigned("hash", 64 - bits).alias("bit")).withColumn("part", F.shiftright("bit", 18).cast("int"))
+    for r in keyed.groupBy("part").applyInArrow(_bits_of, "part int, data binary").toLocalIterator():
+        out[r.part << 15 : (r.part + 1) << 15] = np.frombuffer(r.data, np.uint8)
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, shortest: int = 1) -> DataFrame:
+    """Columns doc_id, t (hash of the text), item_id, covered, item_tokens, verbatim, one row per leak.
+
+    Items of fewer than ``shortest`` words are not searched.
+    """
     from .storage import written
 
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    sizes = [x for k in range(SHORTEST, WINDOW + 1) for x in (k, -k)]
+    items = benchmark.select(col(item_col).alias("item"), col(item_text_col).cast("string").alias("text"))
+    sizes = list(range(TEMPLATE_SHORTEST, WINDOW + 1)) + [-k for k in range(shortest, WINDOW + 1)]
     items = written(items.mapInArrow(_emit(sizes, None, 1, True, least), _tail(T.StructField("item", items.schema["item"].dataType))), "items")
-    head = items.select("size", F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("bit")).distinct().toPandas()
-    bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    bits = head["bit"].to_numpy(np.int64)
-    np.bitwise_or.at(bitmap, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = keyed.mapInArrow(_emit(sorted(set(head["size"].tolist())), bitmap, 2, False), _tail(T.StructField("id", keyed.schema["id"].dataType), T.StructField("t", T.LongType())))
+    there = sorted(r[0] for r in items.select("size").distinct().collect())
+    text = col(text_col).cast("string")
+    keyed = docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("text is not null")
+    found = keyed.mapInArrow(_emit(there, bitmap_of(items), 2, False), _tail(T.StructField("id", keyed.schema["id"].dataType), T.StructField("t", T.LongType())))
     return matched(found, items, least)
 
 
@@ -244,6 +324,7 @@ def matched(found: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without those that leak an item; other rows and all columns stay."""
-    bad = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left_anti").drop("__hash")
+    key, bad_id, bad_t = free(docs.columns, "__hash", "__id", "__t")
+    bad = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias(bad_id), F.col("t").alias(bad_t)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(col(text_col).cast("string")))
+    return keyed.join(bad, col(id_col).eqNullSafe(col(bad_id)) & (col(key) == col(bad_t)), "left_anti").select(*named(docs))
