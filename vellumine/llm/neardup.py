@@ -6,38 +6,45 @@ Two texts are near copies when the first differ in at most ``bits`` bits and
 the second in at most ``shingle_bits``; groups are the connected components.
 
 The search is exact.  ``bits`` errors over three segments leave one segment
-with at most ``bits // 3``; of that segment's ``bits // 3 + 1`` blocks one is
-free of errors.  Each hash therefore goes to one task per (segment, block
-value), and each task joins the binary trie of its hashes with itself: pairs
-of nodes descend together, differing bits add up, and a pair is dropped as
-soon as the segment or the whole exceeds its budget.  A pair that several
-tasks could meet counts in each, which changes no component.  Tasks return
-spanning forests, so their output is linear in the hashes, whatever the
-number of copies.
-
-Defined cases: a null text, an empty one or one without words is never part of
-a group; rows with a null id are neither grouped nor removed; equal texts are
-always grouped; rows that repeat both id and text are one document; an empty
-table gives an empty result; other columns are carried or ignored.
+with at most ``bits // 3``.  Cut into more blocks than that, it has a choice of
+blocks without errors, which is the key of a task: each hash goes to one task per
+choice.  The more hashes there are the more blocks are cut, so keys widen, tasks
+multiply and the expected hashes a task stay below ``group`` (12 keys a hash up to
+ten million hashes, 30 up to ninety, 60 up to four hundred).  Each task joins the
+binary trie of its hashes with itself: pairs of nodes descend together, differing
+bits add up, and a pair is dropped as soon as the segment, or behind the segment
+the whole, exceeds its budget.  A pair that several tasks could meet counts in
+each, which changes no component.  Tasks return spanning forests, so their output
+is linear in the hashes, whatever the number of copies.
+
+Defined cases: a null or empty text is never part of a group; a text without
+words is only grouped with equal ones; rows with a null id are neither grouped
+nor removed; equal texts are always grouped; rows that repeat both id and text
+are one document; an empty table gives an empty result; other columns, whatever
+their names, are carried or ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .columns import col, free, named
 from .storage import written
 
-BITS, SHINGLE_BITS = 11, 87
+BITS, SHINGLE_BITS, GROUP = 11, 87, 1 << 18
 _LANES = np.uint64(0x0101010101010101)
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
-_BYTES = T.StructType([T.StructField("h", T.LongType()), T.StructField("v", T.BinaryType())])
+_WIDE = ["v0", "v1", "v2", "v3"]
+_SIGNATURE = T.StructType([T.StructField(x, T.LongType()) for x in ("h", *_WIDE)])
 _SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
 
@@ -60,13 +67,19 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each text has words, its word SimHash, its four words of shingle SimHash."""
+    """Whether each text has bytes, its word SimHash, its four words of shingle SimHash; of a text without words, a hash of its bytes."""
     data, offsets = tb.utf8(text)
     n = len(text)
     has, word_hash, shingle_hash = np.zeros(n, bool), np.zeros(n, np.uint64), np.zeros((n, 4), np.uint64)
     for i, j in tb.chunks(offsets):
         low = tb.fold(data[offsets[i] : offsets[j]])
         start, end, doc = tb.word_spans(low, offsets[i : j + 1] - offsets[i])
+        with_words = np.zeros(j - i, bool)
+        with_words[doc] = True
+        for k in np.flatnonzero(~with_words & (np.diff(offsets[i : j + 1]) > 0)) + i:  # only equal to equal ones
+            digest = hashlib.blake2b(data[offsets[k] : offsets[k + 1]].tobytes(), digest_size=40).digest()
+            word_hash[k], *shingle_hash[k] = np.frombuffer(digest, np.uint64)
+            has[k] = True
         if not len(start):
             continue
         h = tb.span_hashes(low, start, end)
@@ -90,58 +103,58 @@ def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return has, word_hash, shingle_hash
 
 
-@F.arrow_udf(_BYTES)
+@F.arrow_udf(_SIGNATURE)
 def _sign(text: pa.Array) -> pa.Array:
     has, h, v = signatures(text)
-    null = pa.array(~has)
-    wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(h), [None, pa.py_buffer(np.ascontiguousarray(v).tobytes())]).cast(pa.binary())
-    nothing = pa.scalar(None, pa.int64()), pa.scalar(None, pa.binary())
-    return pa.StructArray.from_arrays([pa.compute.if_else(null, nothing[0], pa.array(h.view(np.int64))), pa.compute.if_else(null, nothing[1], wide)], ["h", "v"])
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64), mask=~has) for x in (h, *v.T)], ["h", *_WIDE])
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, t (hash of the text's bytes), h and v of every row with an id and words."""
-    return (
-        docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), _sign(F.col(text_col)).alias("s"))
-        .where("s.h is not null")
-        .select("id", "t", "s.h", "s.v")
-    )
+    """Columns id, t (hash of the text's bytes), h and v0 to v3 of every row with an id and a text that isn't empty."""
+    text = col(text_col).cast("string")
+    return docs.where(col(id_col).isNotNull() & (text != "")).select(col(id_col).alias("id"), F.xxhash64(text).alias("t"), _sign(text).alias("s")).select("id", "t", "s.*")
 
 
-def _rotations(h: np.ndarray) -> list[np.ndarray]:
-    """The hash with each segment, and in it each block, moved to the front."""
-    return [(h << np.uint64(s)) | (h >> np.uint64(64 - s)) if s else h for s, _ in _SEGMENTS]
+def _subsets(bits: int, blocks: int) -> list[tuple[int, ...]]:
+    """The choices of ``blocks - most`` of a segment's blocks, of which one is free of errors when at most ``most`` blocks have any."""
+    return list(itertools.combinations(range(blocks), blocks - bits // 3))
 
 
-def _blocks(width: int, most: int) -> list[tuple[int, int]]:
-    """Start and width of the most + 1 blocks of a segment."""
-    cut = [width * k // (most + 1) for k in range(most + 2)]
-    return list(zip(cut, np.diff(cut).tolist(), strict=False))
+def plan(bits: int, rows: int, group: int = GROUP) -> list[tuple[int, list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Segment, pieces (start, width) of the key, other pieces of the segment, for each kind of task.
 
-
-def _plan(bits: int) -> list[tuple[int, int, int, int]]:
-    """Segment, its width, block start and block width, for each kind of task."""
-    return [(s, w, a, n) for s, (_, w) in enumerate(_SEGMENTS) for a, n in _blocks(w, bits // 3)]
+    A segment with at most ``bits // 3`` errors is cut into the fewest blocks
+    with which the expected group of ``rows`` hashes has at most ``group``.
+    """
+    most, (_, width) = bits // 3, _SEGMENTS[0]
+    blocks = most + 1
+    while blocks < width and rows > group << (width * (blocks - most) // blocks):
+        blocks += 1
+    out = []
+    for s, (start, width) in enumerate(_SEGMENTS):
+        cut = [start + width * k // blocks for k in range(blocks + 1)]
+        piece = list(zip(cut, np.diff(cut).tolist(), strict=False))
+        out += [(s, [piece[k] for k in keys], [piece[k] for k in range(blocks) if k not in keys]) for keys in _subsets(bits, blocks)]
+    return out
 
 
-def _arranged(h: np.ndarray, segment: int, start: int, width: int) -> np.ndarray:
-    """Bits reordered as: block, rest of the segment, everything else."""
-    r = _rotations(h)[segment]
-    if start == 0:
-        return r
-    top, block = r >> np.uint64(64 - start), (r << np.uint64(start)) >> np.uint64(64 - width)
-    rest = (r << np.uint64(start + width)) >> np.uint64(start + width)
-    return (block << np.uint64(64 - width)) | (top << np.uint64(64 - width - start)) | rest
+def _arranged(h: np.ndarray, pieces: list[tuple[int, int]]) -> np.ndarray:
+    """Bits reordered by pieces (start, width), which cover all 64."""
+    out = np.zeros(len(h), np.uint64)
+    for start, width in pieces:
+        out = (out << np.uint64(width)) | ((h << np.uint64(start)) >> np.uint64(64 - width)) if width < 64 else h
+    return out
 
 
-def trie_pairs(keys: np.ndarray, depth: int, segment_end: int, most_segment: int, most: int, leaf: int = 48, wave: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, depth: int, segment_end: int, most_segment: int, most: int, leaf: int = 48, wave: int = 1 << 18, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of sorted distinct 64-bit keys that differ in at most ``most`` bits.
 
     The first ``depth`` bits are equal in all keys; among the bits before
-    ``segment_end`` at most ``most_segment`` may differ.  A node is a range of
-    the sorted keys.  Pairs of nodes descend a bit at a time, breadth first in
-    waves of bounded size, until a pair has few keys; those are compared.
+    ``segment_end`` at most ``most_segment`` may differ, among all at most
+    ``most``.  A node is a range of the sorted keys.  Pairs of nodes descend a
+    bit at a time, breadth first in waves of bounded size, and are dropped when
+    their differing bits exceed the budget, until a pair has few keys; those are
+    compared.  ``seen`` collects the numbers of node pairs and comparisons.
     """
     n = len(keys)
     if n < 2:
@@ -155,7 +168,9 @@ def trie_pairs(keys: np.ndarray, depth: int, segment_end: int, most_segment: int
                 stack.append((d, *(x[k : k + wave] for x in (a0, a1, b0, b1, acc))))
             continue
         size = (a1 - a0) * (b1 - b0)
-        small = size <= leaf if d < segment_end else np.ones(len(size), bool)
+        small = size <= leaf if d < 64 else np.ones(len(size), bool)
+        if seen is not None:
+            seen += [len(size), int(size[small].sum())]
         if small.any():
             count, p, q, w = size[small], a0[small], b0[small], (b1 - b0)[small]
             ends = np.cumsum(count)
@@ -181,7 +196,7 @@ def trie_pairs(keys: np.ndarray, depth: int, segment_end: int, most_segment: int
         parts = [(a0, am, b0, bm, acc, None), (am, a1, bm, b1, acc, None), (a0, am, bm, b1, acc + 1, None), (am, a1, b0, bm, acc + 1, ~own)]
         out = []
         for x0, x1, y0, y1, e, only in parts:
-            ok = (x1 > x0) & (y1 > y0) & (e <= most_segment)
+            ok = (x1 > x0) & (y1 > y0) & (e <= (most_segment if d < segment_end else most))
             if only is not None:
                 ok &= only
             out.append((x0[ok], x1[ok], y0[ok], y1[ok], e[ok]))
@@ -224,16 +239,15 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return _root(parent, parent)
 
 
-def _join_task(bits: int, shingle_bits: int):
-    plan = _plan(bits)
-
+def _join_task(kinds: list[tuple[int, list[tuple[int, int]], list[tuple[int, int]]]], bits: int, shingle_bits: int):
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        s, w, a, n = plan[key[0].as_py() >> 22]
+        s, own, rest = kinds[key[0].as_py() >> 22]
+        depth, width = sum(w for _, w in own), _SEGMENTS[s][1]
         h = table["h"].to_numpy().view(np.uint64)
-        k = _arranged(h, s, a, n)
+        k = _arranged(h, [*own, *rest, *(x for t, x in enumerate(_SEGMENTS) if t != s)])
         order = np.argsort(k, kind="stable")
         k, node = k[order], table["node"].to_numpy()[order]
-        v = np.frombuffer(b"".join(table["v"].to_pylist()), np.uint64).reshape(-1, 4)[order]
+        v = np.column_stack([table[f"v{c}"].to_numpy().view(np.uint64) for c in range(4)])[order]
         run = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         last = np.append(run[1:], len(k))
 
@@ -247,7 +261,7 @@ def _join_task(bits: int, shingle_bits: int):
                 size = last[x : x + 1] - run[x : x + 1]
                 for p, q in _expanded(run[x : x + 1], run[x : x + 1], size, size * size):
                     yield near(p[p < q], q[p < q])
-            for i, j in trie_pairs(k[run], n, w, bits // 3, bits):
+            for i, j in trie_pairs(k[run], depth, width, bits // 3, bits):
                 count = (last - run)[i] * (last - run)[j]
                 for p, q in _expanded(run[i], run[j], (last - run)[j], count):
                     yield near(p, q)
@@ -259,15 +273,17 @@ def _join_task(bits: int, shingle_bits: int):
     return join
 
 
-def edges(nodes: DataFrame, bits: int = BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
-    """Edges (a, b) that span the components of ``nodes`` (node, h, v)."""
+def edges(nodes: DataFrame, bits: int = BITS, shingle_bits: int = SHINGLE_BITS, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) that span the components of ``nodes`` (node, h, v0 to v3)."""
     if bits > 11:
         raise ValueError("at most 11 bits")
-    keys = []
-    for x, (s, _, a, n) in enumerate(_plan(bits)):
-        offset = _SEGMENTS[s][0] + a
-        keys.append(F.lit(x << 22).bitwiseOR(F.shiftrightunsigned("h", 64 - offset - n).bitwiseAND(F.lit((1 << n) - 1)).cast("int")))
-    return nodes.select(F.explode(F.array(*keys)).alias("g"), "node", "h", "v").groupBy("g").applyInArrow(_join_task(bits, shingle_bits), "a long, b long")
+    kinds, keys = plan(bits, nodes.count(), group), []
+    for x, (_, own, _) in enumerate(kinds):
+        key = F.lit(x).cast("long")
+        for start, width in own:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("h", 64 - start - width).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(F.shiftleft(F.lit(x).cast("long"), 22).bitwiseOR(key.bitwiseAND(F.lit((1 << 22) - 1))))
+    return nodes.select(F.explode(F.array(*keys)).alias("g"), "node", "h", *_WIDE).groupBy("g").applyInArrow(_join_task(kinds, bits, shingle_bits), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,23 +307,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, bits: int, shingle_bits: int) -> DataFrame:
-    """Columns id, t, g of every member of a group of two rows or more, one row per (id, t)."""
+    """Columns id, t, first (id and t of the first member) of every member of a group of two rows or more, one row per (id, t)."""
     sigs = written(signed(docs, id_col, text_col), "simhash")
-    nodes = sigs.select("h", "v").distinct().select(F.xxhash64("h", "v").alias("node"), "h", "v")
+    nodes = written(sigs.select("h", *_WIDE).distinct().withColumn("node", F.xxhash64("h", *_WIDE)), "nodes")
     roots = components(edges(nodes, bits, shingle_bits))
-    member = sigs.groupBy("id", "t").agg(F.min(F.xxhash64("h", "v")).alias("node"), F.count("*").alias("rows"))
+    member = sigs.groupBy("id", "t").agg(F.min(F.xxhash64("h", *_WIDE)).alias("node"), F.count("*").alias("rows"))
     member = member.join(roots, "node", "left").select("id", "t", "rows", F.coalesce("root", "node").alias("g"))
     big = member.groupBy("g").agg(F.sum("rows").alias("n"), F.min(F.struct("id", "t")).alias("first")).where("n > 1")
     return member.join(big, "g").select("id", "t", "first")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
-    """Columns group_id (least id of the group), doc_id, is_kept, one row per document that has a near copy.
+    """Columns group_id (least id of the group), doc_id, is_kept, one row per group and id that is in it.
 
+    An id with several texts has a row for each group that one of them is in.
     See the module for nulls, repeated rows and empty tables.
     """
     g = _groups(docs, id_col, text_col, bits, shingle_bits)
-    return g.groupBy("id").agg(F.min("first.id").alias("group_id"), F.max((F.col("first.id") == F.col("id")) & (F.col("first.t") == F.col("t"))).alias("is_kept")).select("group_id", F.col("id").alias("doc_id"), "is_kept")
+    kept = (F.col("first.id") == F.col("id")) & (F.col("first.t") == F.col("t"))
+    return g.groupBy("first", "id").agg(F.max(kept).alias("is_kept")).select(F.col("first.id").alias("group_id"), F.col("id").alias("doc_id"), "is_kept")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
@@ -315,11 +333,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of rows that repeat id and text one stays.  Rows with a null id or text stay.
     """
-    from pyspark.sql import Window
-
-    lost = _groups(docs, id_col, text_col, bits, shingle_bits).where("first.id <> id or first.t <> t").select(F.col("id").alias("__lost"), F.col("t").alias("__t"))
-    names = docs.columns
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    kept = keyed.join(lost, (F.col(id_col) == F.col("__lost")) & (F.col("__hash") == F.col("__t")), "left_anti")
-    twice = F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy("__hash"))
-    return kept.withColumn("__n", F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), twice).otherwise(1)).where("__n = 1").select(*(F.col(f"`{c}`") for c in names))
+    key, number, lost_id, lost_t = free(docs.columns, "__hash", "__n", "__lost", "__t")
+    lost = _groups(docs, id_col, text_col, bits, shingle_bits).where("first.id <> id or first.t <> t").select(F.col("id").alias(lost_id), F.col("t").alias(lost_t))
+    keyed = docs.withColumn(key, F.xxhash64(col(text_col).cast("string")))
+    kept = keyed.join(lost, (col(id_col) == col(lost_id)) & (col(key) == col(lost_t)), "left_anti")
+    twice = F.row_number().over(Window.partitionBy(col(id_col), col(key)).orderBy(col(key)))
+    return kept.withColumn(number, F.when(col(id_col).isNotNull() & (col(text_col).cast("string") != ""), twice).otherwise(1)).where(col(number) == 1).select(*named(docs))
