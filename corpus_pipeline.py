@@ -4,17 +4,18 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of documents; the last adds row_number, position, shard and
 slot.  Nulls, empty texts, repeated rows and empty tables have the results that
-the operators' modules state: language ID drops null and blank texts, the other
-stages keep what they have no evidence against.
+the operators' modules state: language ID drops null and blank texts and what no
+language explains, the other stages keep what they have no evidence against.
+Columns of any name pass the first four stages unchanged.  ``run`` deletes a
+stage's tables in the shared folder when the next stage is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellumine.llm import decontaminate, langid, mixing, neardup, sharding
-from vellumine.llm.storage import written
+from vellumine.llm.storage import collected, delete, written
 from vellumine.ship import ship
 
 
@@ -38,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask, each at least once."""
     ship(spark)
-    return mixing.mixed(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixing.repeated(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with collected() as used:
+            docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        delete(spark, [*before, *used[:-1]])
+        before = used[-1:]
     return docs

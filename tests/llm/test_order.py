@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -39,46 +41,72 @@ def test_sharding_of_odd_rows(odd, nothing):
 
 def test_schedule_is_pfair():
     for share in ({"a": 1}, {"a": 3, "b": 5, "c": 2}, {"a": 333, "b": 333, "c": 334}, {str(i): 1 + i for i in range(30)}):
-        slots, period = mixing.schedule(share), sum(share.values())
-        assert sorted(t for s in slots.values() for t in s) == list(range(period))
-        for s, p in share.items():
-            for t in range(period + 1):
-                assert abs(sum(x < t for x in slots[s]) - p * t / period) < 1
-            assert all(j * period // p <= x < -(-(j + 1) * period // p) for j, x in enumerate(slots[s]))
+        total = sum(share.values())
+        got = [s for _, s in mixing.scheduled(share, {s: 3 * p for s, p in share.items()})]
+        assert len(got) == 3 * total and Counter(got) == {s: 3 * p for s, p in share.items()}
+        done = Counter()
+        for t, s in enumerate(got):
+            assert done[s] * total // share[s] <= t < -(-(done[s] + 1) * total // share[s])
+            done[s] += 1
+            assert all(abs(done[x] * total - p * (t + 1)) < total for x, p in share.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.70004, "b": 0.29940, "c": 0.00056}, {"hot": 0.5} | {f"s{k:02}": 0.5 / 19 for k in range(19)}, {"a": 1e-5, "b": 1.0}])
+def test_less_than_a_block_from_the_target_weights_over_a_million_slots(weights):
+    share = mixing.shares(dict.fromkeys(weights, 1), weights)
+    exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    assert all(Fraction(p, sum(share.values())) == exact[s] for s, p in share.items())
+    ratio = {s: (e.numerator, e.denominator) for s, e in exact.items()}
+    done, worst = dict.fromkeys(weights, 0), Fraction(0)
+    for t, s in mixing.scheduled(share, dict.fromkeys(weights, 10**7)):
+        if t == 10**6:
+            break
+        done[s] += 1
+        if t % 97 == 0 or t > 999_000:
+            worst = max(worst, *(abs(done[x] - Fraction(n * (t + 1), d)) for x, (n, d) in ratio.items()))
+    assert worst < 1
 
 
-def brute_mix(rows, weights, block, period):
-    """Earliest deadline first over all slots, without periods; rows: (source, id)."""
+def brute_mix(rows, weights, block):
+    """Earliest deadline first over all slots with fractions; rows: (source, id)."""
     sources = sorted(weights)
-    share = mixing.parts(weights, period)
-    h = sum(share.values())
+    total = sum(Fraction(w) for w in weights.values())
+    w = {s: Fraction(weights[s]) / total for s in sources}
     queue = {s: sorted(i for x, i in rows if x == s) for s in sources}
-    blocks = {s: [queue[s][k : k + block] for k in range(0, len(queue[s]), block)] for s in sources}
-    done = Counter()
-    out, t = [], 0
-    while any(done[s] < len(blocks[s]) for s in sources):
-        ready = [s for s in sources if done[s] * h // share[s] <= t]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * h // share[s]), s))
-        epoch, b = divmod(done[s], len(blocks[s]))
-        out += [(i, s, epoch, b, t, t * block + k) for k, i in enumerate(blocks[s][b])]
-        done[s] += 1
+    needed = {s: -(-len(queue[s]) // block) for s in sources}
+    given = {s: [] for s in sources}
+    t = 0
+    while any(len(given[s]) < needed[s] for s in sources):
+        ready = [s for s in sources if math.floor(len(given[s]) / w[s]) <= t]
+        given[min(ready, key=lambda s: (math.ceil((len(given[s]) + 1) / w[s]), s))].append(t)
         t += 1
+    out = []
+    for s in sources:
+        n = len(queue[s])
+        for x in range(len(given[s]) * block if len(given[s]) > needed[s] else n):
+            slot = given[s][x // block]
+            out.append((queue[s][x % n], s, x // n, x // block, slot, slot * block + x % block))
     return sorted(out)
 
 
 def test_mixing_equals_brute_force(spark):
     rows = [(s, k * 10 + n) for k, (s, n_rows) in enumerate((("a", 37), ("b", 5), ("c", 90))) for n in range(n_rows * 100) if n % 100 == 0]
     df = spark.createDataFrame([(i, s) for s, i in rows], "doc_id long, source string")
-    for weights in ({"a": 1, "b": 2, "c": 1}, {"a": 0.2, "c": 0.8}):
-        got = sorted(tuple(r) for r in mixing.mixed(df, weights, block=4, period=20).select("doc_id", "source", "epoch", "block", "slot", "position").collect())
-        assert got == brute_mix([r for r in rows if r[0] in weights], weights, 4, 20)
+    for weights in ({"a": 1, "b": 2, "c": 1}, {"a": 0.2, "c": 0.8}, None):
+        got = sorted(tuple(r) for r in mixing.mixed(df, weights, block=4).select("doc_id", "source", "epoch", "block", "slot", "position").collect())
+        exact = weights or mixing.shares(Counter(s for s, _ in rows), None)
+        assert got == brute_mix([r for r in rows if r[0] in exact], exact, 4)
 
 
-def test_mixing_equals_sql(spark):
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    got = mixing.mixed(spark.read.parquet(f"{DATA}/documents.parquet"), block=3).select("doc_id", "source", "epoch", "block", "slot", "position")
-    assert sorted(tuple(r) for r in got.collect()) == sorted(c.execute(mixing.mixing_sql(block=3)).fetchall())
+def test_mixing_equals_sql(spark, tmp_path):
+    skewed = [(k, f"s{min(k % 17, 3)}") for k in range(700)] + [(1000 + k, None) for k in range(5)] + [(2000 + k, "tiny") for k in range(2)]
+    spark.createDataFrame(skewed, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, block in ((DATA, 3), (DATA, 64), (tmp_path, 5), (tmp_path, 64)):
+        c = duckdb.connect()
+        path = f"{folder}/documents.parquet"
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}{'/*.parquet' if folder == tmp_path else ''}'")
+        got = mixing.mixed(spark.read.parquet(path), block=block).selectExpr("doc_id", "coalesce(source, '')", "epoch", "block", "slot", "position")
+        assert sorted(tuple(r) for r in got.collect()) == sorted(c.execute(mixing.mixing_sql(block=block)).fetchall())
 
 
 def test_mixing_of_odd_rows(odd, nothing):
@@ -89,6 +117,8 @@ def test_mixing_of_odd_rows(odd, nothing):
     assert mixing.mixed(nothing).count() == 0
     assert mixing.mixed(odd, {"nowhere": 1.0}).count() == 0
     assert mixing.mixed(odd.withColumn("slot", F.lit("x"))).columns[-4:] == ["epoch", "block", "slot", "position"]
+    kept = mixing.repeated(odd.withColumn("slot", F.lit("x")), block=2)
+    assert kept.columns == [*odd.columns, "slot"] and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows) and {r["slot"] for r in kept.collect()} == {"x"}
 
 
 def test_mixing_keeps_the_weights_themselves(spark):

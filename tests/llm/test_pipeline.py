@@ -1,7 +1,10 @@
+import os
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from vellumine.llm import decontaminate, langid, mixing, neardup, registry, sharding
+from vellumine.llm import decontaminate, langid, mixing, neardup, registry, sharding, storage
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,8 +43,29 @@ def test_stages_keep_odd_rows_defined(spark, odd, nothing):
         out = stage(spark, odd, DATA)
         assert set(odd.columns) <= set(out.columns) and out.count() > 0
         step = stage(spark, step, DATA)
+        if k < 4:
+            assert step.columns == odd.columns and all(r[x] == "x" + x for r in step.collect() for x in odd.columns[5:])
         if k == 2:
-            assert {r.doc_id for r in step.collect()} == {1, 5, 7, 8, None}
+            assert {r.doc_id for r in step.collect()} == {1, 5, 8, None}
+
+
+def test_clashing_columns_keep_their_values(spark, odd):
+    step = odd.withColumn("slot", F.lit(7)).withColumn("position", F.lit(9))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        step = stage(spark, step, DATA)
+        assert step.columns == [*odd.columns, "slot", "position"]
+    assert step.count() >= 4 and {(r["slot"], r["position"], r["epoch"], r["block"]) for r in step.collect()} == {(7, 9, "xepoch", "xblock")}
+    last = corpus_pipeline.STAGES[4][1](spark, step, DATA)
+    assert {r["epoch"] for r in last.collect()} == {"xepoch"}
+
+
+def test_run_deletes_the_tables_of_earlier_stages(spark):
+    before = set(storage._made.get(spark, []))
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.count() > 0
+    new = [p for p in storage._made[spark] if p not in before]
+    assert len(new) == 2 and sum("/stage3" in p for p in new) == 1  # the last stage's input and its helper table
+    assert all(os.path.exists(p.removeprefix("file:").replace("//", "/")) for p in new)
 
 
 def test_registry(spark):

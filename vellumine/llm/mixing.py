@@ -8,204 +8,162 @@ order).  As the weights sum to one, no deadline is missed, so after any number
 of slots t each source has been given less than one block more or less than w t.
 
 Releases and deadlines are computed in whole numbers from the weights themselves
-(a float is a fraction), over all slots up to the end; the driver simulates the
-slots, not the documents, and all documents find their slots in parallel.
-
-With a ``period``, weights are rounded to parts p of so many slots (every source
-at least one part, the rest apportioned by largest remainders), each epoch of a
-source ends with a short block, and the schedule repeats: block j of a source
-goes to slot (j div p) period + S[j mod p].  The bound then holds for p / period,
-not for the weight.  ``mixing_sql`` does this
-with 1000 slots, so it equals ``mixed`` without a period only where the parts are
-the weights and no source is repeated, as in tables whose sources have equal sizes.
+(a float is a fraction).  One task simulates the slots, not the documents, and
+writes the slots of each source in chunks, so it holds a chunk a source; all
+documents find their slots in parallel.
 
 The mix ends when every source has been used up once; a source that is used up
 earlier starts over (its ``epoch`` counts up) within the same block, and block
 numbers run on, so every block of a repeated source is full, no document is lost
 and the shares hold in documents too.  Only a source that is not repeated may
-end with a short block.  Without ``weights`` a source of n documents weighs
-n ** temperature.
+end with a short block.  Without ``weights`` a source of n documents weighs the
+whole number nearest to 2^20 n ** temperature.
 
 Defined cases: a null source is the source ''; with ``weights``, sources that
 are not named or have no positive weight are left out; null ids come first in
 their source and equal ids are ordered by the rows' hash; repeated rows count
-as documents; texts are never looked at; an empty table gives an empty result;
-extra columns are carried, and columns named epoch, block, slot or position are
-replaced.
+as documents; a null or empty text is content like any other; an empty table
+gives an empty result; extra columns are carried; ``mixed`` replaces columns
+named epoch, block, slot or position, ``repeated`` keeps them.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from math import lcm
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .columns import col, free, named
+from .order import content_hash, numbered
+from .storage import written
 
-BLOCK, PERIOD, TEMPERATURE = 64, 1000, 0.8
+BLOCK, TEMPERATURE, SCALE = 64, 0.8, 1 << 20
 CHUNK, LOCAL = 4096, 1 << 22
 
 
-def parts(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts of a period that is at least eight times the number of sources."""
-    names = sorted(weights)
-    period = max(period, 8 * len(names))
-    total = sum(weights.values())
-    spare = period - len(names)
-    exact = {s: spare * (weights[s] / total) for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    left = period - sum(out.values())
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
-        out[s] += 1
-    return out
-
-
-def schedule(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    period, names = sum(share.values()), sorted(share)
-    future = [(0, k) for k in range(len(names))]
+def shares(counts: Mapping[str, int], weights: Mapping[str, float] | None, temperature: float = TEMPERATURE) -> dict[str, int]:
+    """Whole numbers in the exact proportion of the positive weights of the sources there are."""
+    if weights is None:
+        return {s: math.floor(n**temperature * SCALE + 0.5) for s, n in counts.items()}
+    ratio = {s: Fraction(weights[s]) for s in counts if weights.get(s, 0) > 0}
+    scale = math.lcm(*(r.denominator for r in ratio.values()))
+    return {s: int(r * scale) for s, r in ratio.items()}
+
+
+def scheduled(share: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[int, str]]:
+    """Slot by slot the source that gets it, earliest deadline first among released blocks, until each has had its ``blocks``."""
+    names = sorted(share)
+    common = math.gcd(*share.values()) if share else 1
+    parts = [share[s] // common for s in names]
+    total, missing = sum(parts), len(names)
+    future: list[tuple[int, int]] = [(0, k) for k in range(len(names))]
     ready: list[tuple[int, int]] = []
-    done = [0] * len(names)
-    out: dict[str, list[int]] = {s: [] for s in names}
-    for t in range(period):
-        while future and future[0][0] <= t:
-            _, k = heapq.heappop(future)
-            heapq.heappush(ready, (-(-(done[k] + 1) * period // share[names[k]]), k))
-        due, k = heapq.heappop(ready)
-        assert t < due
-        out[names[k]].append(t)
-        done[k] += 1
-        heapq.heappush(future, (done[k] * period // share[names[k]], k))
-    return out
-
-
-def exact_schedule(weights: Mapping[str, float], blocks: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks, by the weights themselves, until every source has had its ``blocks``."""
-    names = sorted(weights)
-    ratio = [Fraction(weights[s]) for s in names]
-    scale = lcm(*(r.denominator for r in ratio))
-    share = [int(r * scale) for r in ratio]
-    total, missing = sum(share), len(names)
-    future, ready = [(0, k) for k in range(len(names))], []
-    out: list[list[int]] = [[] for _ in names]
+    done, needed = [0] * len(names), [blocks[s] for s in names]
     t = 0
     while missing:
         while future and future[0][0] <= t:
             _, k = heapq.heappop(future)
-            heapq.heappush(ready, (-(-(len(out[k]) + 1) * total // share[k]), k))
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
         due, k = heapq.heappop(ready)
         assert t < due
-        out[k].append(t)
-        missing -= len(out[k]) == blocks[names[k]]
-        heapq.heappush(future, (len(out[k]) * total // share[k], k))
+        yield t, names[k]
+        done[k] += 1
+        missing -= done[k] == needed[k]
+        heapq.heappush(future, (done[k] * total // parts[k], k))
         t += 1
-    return dict(zip(names, out, strict=True))
 
 
-def used_weights(counts: Mapping[str, int], weights: Mapping[str, float] | None, temperature: float) -> dict[str, float]:
-    """The positive weights of the sources there are."""
-    return {s: n**temperature for s, n in counts.items()} if weights is None else {s: float(weights[s]) for s in counts if weights.get(s, 0) > 0}
+def _simulated(share: Mapping[str, int], blocks: Mapping[str, int]):
+    """A task that yields the slots of every source in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                held: dict[str, list[int]] = {s: [] for s in share}
+                number = dict.fromkeys(share, 0)
+
+                def chunk(s: str) -> pa.RecordBatch:
+                    row = pa.RecordBatch.from_arrays([pa.array([s], pa.string()), pa.array([number[s]], pa.int64()), pa.array([np.array(held[s], np.int64)], pa.list_(pa.int64()))], ["s", "c", "slots"])  # noqa: B023
+                    number[s] += 1  # noqa: B023
+                    held[s] = []  # noqa: B023
+                    return row
 
+                for t, s in scheduled(share, blocks):
+                    held[s].append(t)
+                    if len(held[s]) == CHUNK:
+                        yield chunk(s)
+                for s in share:
+                    if held[s]:
+                        yield chunk(s)
 
-def plan(counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, period: int, temperature: float) -> list[tuple]:
-    """Source, first row number, blocks, blocks scheduled, parts, slots within a period."""
-    used = used_weights(counts, weights, temperature)
-    if not used:
-        return []
-    share = parts(used, period)
-    period, slots = sum(share.values()), schedule(share)
-    blocks = {s: -(-counts[s] // block) for s in used}
-    end = 1 + max((blocks[s] - 1) // share[s] * period + slots[s][(blocks[s] - 1) % share[s]] for s in used)
-    out, before = [], 0
-    for s in sorted(counts):
-        if s in used:
-            given = end // period * share[s] + sum(t < end % period for t in slots[s])
-            out.append((s, before, blocks[s], given, share[s], slots[s]))
-        before += counts[s]
-    return out
+    return run
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with epoch, block, slot and position; a row for each time a document is used."""
-    docs = docs.drop("epoch", "block", "slot", "position")
-    names = docs.columns
-    keyed = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    counts = {r[0]: r[1] for r in keyed.groupBy("__source").count().collect()}  # a row a source
-    plain = [F.col(f"`{c}`") for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
-    n = numbered(keyed, ["__source", id_col], F.xxhash64(*plain), "__row")
-    n = _exact(n, counts, weights, block, temperature) if period is None else _periodic(n, counts, weights, block, period, temperature)
-    return n.withColumn("position", F.col("slot") * block + F.col("__at")).select(*(F.col(f"`{c}`") for c in names), "epoch", "block", "slot", "position")
-
-
-def _exact(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, temperature: float) -> DataFrame:
-    """Numbered rows with their uses, by the weights themselves."""
-    used = used_weights(counts, weights, temperature)
-    slots = exact_schedule(used, {s: -(-counts[s] // block) for s in used}) if used else {}
-    spark, rows, before = n.sparkSession, [], 0
-    for s in sorted(counts):
-        if s in used:
-            given = len(slots[s])  # a source that is not repeated ends with what it has
-            rows.append((s, before, counts[s], given * block if given > -(-counts[s] // block) else counts[s]))
-        before += counts[s]
-    table = spark.createDataFrame(rows, "__source string, __first long, __n long, __docs long")
-    parts = [(s, k // CHUNK, np.array(x[k : k + CHUNK], np.int64)) for s, x in slots.items() for k in range(0, len(x), CHUNK)]
-    lists = pa.array([p[2] for p in parts], pa.list_(pa.int64()))
-    chunks = spark.createDataFrame(pa.table({"__source": pa.array([p[0] for p in parts], pa.string()), "__chunk": pa.array([p[1] for p in parts], pa.int64()), "__slots": lists}))
-    n = n.join(F.broadcast(table) if len(rows) <= 1000 else table, "__source").withColumn("__in", F.col("__row") - F.col("__first"))
-    last = F.floor((F.col("__docs") - 1 - F.col("__in")) / F.col("__n")).cast("long")
-    n = n.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("__x", F.col("epoch") * F.col("__n") + F.col("__in"))
-    n = n.withColumn("block", F.floor(F.col("__x") / block).cast("long")).withColumn("__at", F.col("__x") % block)
-    n = n.withColumn("__chunk", F.floor(F.col("block") / CHUNK).cast("long"))
-    n = n.join(F.broadcast(chunks) if sum(map(len, slots.values())) <= LOCAL else chunks, ["__source", "__chunk"])
-    return n.withColumn("slot", F.element_at("__slots", (F.col("block") % CHUNK + 1).cast("int")))
-
-
-def _periodic(n: DataFrame, counts: Mapping[str, int], weights: Mapping[str, float] | None, block: int, period: int, temperature: float) -> DataFrame:
-    """Numbered rows with their uses, by parts of a period."""
-    rows = plan(counts, weights, block, period, temperature)
-    period = sum(r[4] for r in rows)
-    table = n.sparkSession.createDataFrame(rows, "__source string, __first long, __blocks long, __given long, __parts long, __slots array<int>")
-    n = n.join(F.broadcast(table) if len(rows) <= 1000 else table, "__source").withColumn("__in", F.col("__row") - F.col("__first"))
-    n = n.withColumn("block", F.floor(F.col("__in") / block).cast("long")).withColumn("__at", F.col("__in") % block)
-    last = F.floor((F.col("__given") - 1 - F.col("block")) / F.col("__blocks")).cast("long")
-    n = n.where(F.col("__given") > F.col("block")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    j = F.col("epoch") * F.col("__blocks") + F.col("block")
-    return n.withColumn("slot", F.floor(j / F.col("__parts")).cast("long") * period + F.element_at("__slots", (j % F.col("__parts") + 1).cast("int")))
-
-
-def mixing_sql(block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> str:
+    return _placed(docs.drop("epoch", "block", "slot", "position"), ["epoch", "block", "slot", "position"], weights, source_col, id_col, block, temperature)
+
+
+def repeated(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, temperature: float = TEMPERATURE) -> DataFrame:
+    """The rows of ``mixed`` with the columns of ``docs`` alone, whatever they are called."""
+    return _placed(docs, free(docs.columns, "epoch", "block", "slot", "position"), weights, source_col, id_col, block, temperature).select(*named(docs))
+
+
+def _placed(docs: DataFrame, out: list[str], weights: Mapping[str, float] | None, source_col: str, id_col: str, block: int, temperature: float) -> DataFrame:
+    """``docs`` with the four columns ``out``, none of which it has."""
+    spark = docs.sparkSession
+    s, row, c, first, n, total, x, slots = free([*docs.columns, *out], "__s", "__row", "__c", "__first", "__n", "__total", "__x", "__slots")
+    keyed = docs.withColumn(s, F.coalesce(col(source_col).cast("string"), F.lit("")))
+    counts = {r[0]: r[1] for r in keyed.groupBy(col(s)).count().collect()}  # a row a source
+    share = shares(counts, weights, temperature)
+    blocks = {k: -(-counts[k] // block) for k in share}
+    chunks = written(spark.range(0, 1, 1, 1).mapInArrow(_simulated(share, blocks), "s string, c long, slots array<long>"), "slots")
+    given = {r[0]: r[1] for r in chunks.groupBy("s").agg(F.sum(F.size("slots"))).collect()}
+    rows, before = [], 0
+    for k in sorted(counts):
+        if k in share:  # a source that is not repeated ends with what it has
+            rows.append((k, before, counts[k], given[k] * block if given[k] > blocks[k] else counts[k]))
+        before += counts[k]
+    table = spark.createDataFrame(rows, "s string, first long, n long, total long").toDF(s, first, n, total)
+    chunks = chunks.toDF(s, c, slots)
+    placed = numbered(keyed, [s, id_col], content_hash(docs), row)
+    placed = placed.join(F.broadcast(table) if len(rows) <= 1000 else table, s).withColumn(row, col(row) - col(first))
+    last = F.floor((col(total) - 1 - col(row)) / col(n)).cast("long")
+    placed = placed.withColumn(out[0], F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(x, col(out[0]) * col(n) + col(row))
+    placed = placed.withColumn(out[1], F.floor(col(x) / block).cast("long")).withColumn(c, F.floor(col(x) / (block * CHUNK)).cast("long"))
+    placed = placed.join(F.broadcast(chunks) if sum(given.values()) <= LOCAL else chunks, [s, c])
+    placed = placed.withColumn(out[2], F.element_at(col(slots), (col(out[1]) % CHUNK + 1).cast("int")))
+    return placed.withColumn(out[3], col(out[2]) * block + col(x) % block).select(*named(docs), *named(placed, out))
+
+
+def mixing_sql(block: int = BLOCK, temperature: float = TEMPERATURE) -> str:
     """DuckDB SQL for ``mixed`` over documents: doc_id, source, epoch, block, slot, position."""
     return f"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
 counts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
-sized AS (SELECT *, greatest({period}, 8 * (SELECT count(*) FROM counts)) AS h, (SELECT count(*) FROM counts) AS k,
-  row_number() OVER (ORDER BY source) AS i FROM counts),
-exact AS (SELECT *, (h - k) * (pow(n, {temperature}) / (SELECT sum(pow(n, {temperature})) FROM counts)) AS x FROM sized),
-ranked AS (SELECT *, row_number() OVER (ORDER BY floor(x) - x, source) AS r, h - k - (SELECT sum(floor(x)) FROM exact) AS spare FROM exact),
-shares AS (SELECT source, n, h, i, (1 + floor(x) + CASE WHEN r <= spare THEN 1 ELSE 0 END)::BIGINT AS p FROM ranked),
-lists AS (SELECT list(p ORDER BY i) AS p, any_value(h)::BIGINT AS h, count(*) AS k FROM shares),
+shares AS (SELECT source, n, (n + {block} - 1) // {block} AS m, row_number() OVER (ORDER BY source) AS i,
+  floor(pow(n, {temperature}) * {SCALE} + 0.5)::HUGEINT AS p FROM counts),
+lists AS (SELECT list(p ORDER BY i) AS p, list(m ORDER BY i) AS m, sum(p)::HUGEINT AS h, count(*) AS k FROM shares),
 steps(t, done, pick) AS (
-  SELECT -1::BIGINT, list_transform(range(1, k + 1), lambda q: 0::BIGINT), 0::BIGINT FROM lists
+  SELECT -1::BIGINT, list_transform(range(1, k + 1), lambda q: 0::HUGEINT), 0::BIGINT FROM lists
   UNION ALL
-  SELECT t + 1, list_transform(range(1, k + 1), lambda q: done[q] + CASE WHEN q = best THEN 1 ELSE 0 END), best
-  FROM (SELECT t, done, p, h, k,
+  SELECT t + 1, list_transform(range(1, k + 1), lambda q: done[q] + CASE WHEN q = best THEN 1 ELSE 0 END), best::BIGINT
+  FROM (SELECT t, done, k,
     list_min(list_transform(range(1, k + 1), lambda q: CASE WHEN (done[q] * h) // p[q] <= t + 1
-      THEN ((done[q] + 1) * h + p[q] - 1) // p[q] ELSE 4000000000 END * 1000000 + q)) % 1000000 AS best
-    FROM steps, lists WHERE t + 1 < h)),
+      THEN ((done[q] + 1) * h + p[q] - 1) // p[q] ELSE 4000000000000 END * 1000000 + q)) % 1000000 AS best
+    FROM steps, lists WHERE list_sum(list_transform(range(1, k + 1), lambda q: CASE WHEN done[q] < m[q] THEN 1 ELSE 0 END)) > 0)),
 slots AS (SELECT pick AS i, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS o FROM steps WHERE t >= 0),
-sources AS (SELECT *, (n + {block} - 1) // {block} AS m FROM shares),
-ends AS (SELECT 1 + max((m - 1) // p * h + t) AS e FROM sources JOIN slots ON slots.i = sources.i AND o = (m - 1) % p),
-given AS (SELECT s.*, e // h * p + (SELECT count(*) FROM slots WHERE slots.i = s.i AND t < e % h) AS c FROM sources s, ends),
-placed AS (SELECT doc_id, source, (rn - 1) // {block} AS block, (rn - 1) % {block} AS inside
-  FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) AS rn FROM docs)),
-used AS (SELECT doc_id, source, block, inside, i, p, h, m, unnest(range(0, (c - 1 - block) // m + 1)) AS epoch
-  FROM placed JOIN given USING (source) WHERE c > block)
-SELECT doc_id, source, epoch, block, (epoch * m + block) // p * h + t AS slot, ((epoch * m + block) // p * h + t) * {block} + inside AS position
-FROM used JOIN slots ON slots.i = used.i AND o = (epoch * m + block) % p
+given AS (SELECT s.source, s.n, s.i, CASE WHEN count(*) > s.m THEN count(*) * {block} ELSE s.n END AS c
+  FROM shares s JOIN slots ON slots.i = s.i GROUP BY s.source, s.n, s.m, s.i),
+placed AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS inside FROM docs),
+used AS (SELECT doc_id, source, i, n, inside, unnest(range(0, (c - 1 - inside) // n + 1)) AS epoch FROM placed JOIN given USING (source)),
+numbered AS (SELECT doc_id, source, i, epoch, epoch * n + inside AS x FROM used)
+SELECT doc_id, source, epoch, x // {block} AS block, t AS slot, t * {block} + x % {block} AS position
+FROM numbered JOIN slots ON slots.i = numbered.i AND o = x // {block}
 """

@@ -38,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
-    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "row_number", "position", "shard", "slot")
+    return sharding.sharded(table(spark, sf_dir, "documents")).select("doc_id", "row_number", "position", "shard", "slot")
 
 
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_zipwarc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of every use of every document."""
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source")).withColumn("source", F.coalesce("source", F.lit("")))
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "epoch", "block", "slot", "position")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .order import content_hash, numbered
 
 ROUNDS, WALKS = 6, 40
 SHARDS, SEED = 64, 20240229
@@ -119,7 +119,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed:
     """``docs`` with row_number, position, shard and slot."""
     docs = docs.drop("row_number", "position", "shard", "slot")
     n = docs.count()
-    out = numbered(docs, [id_col], F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`")))if docs.schema[c].dataType.typeName() in ("map", "variant") else F.col(f"`{c}`") for c in docs.columns)))
+    out = numbered(docs, [id_col], content_hash(docs))
     out = out.withColumn("position", permutation(F.col("row_number"), n, seed))
     return out.withColumn("shard", (F.col("position") % shards).cast("int")).withColumn("slot", F.floor(F.col("position") / shards).cast("long"))
 
