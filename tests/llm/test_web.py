@@ -81,7 +81,7 @@ def test_directory_and_records(options):
     raw = archive(**options)
     names = [m[0] for m in zw.directory(read(raw), len(raw))]
     assert names == ["archive/a.warc.gz", *(["indexes/index.cdx.gz"] if options.get("index", True) else []), "datapackage.json"]
-    bodies = [zw.parse_record(gzip.decompress(raw[at : at + n]))[1] for _, at, n in zw.located(read(raw), len(raw))]
+    bodies = [zw.parse_record(gzip.decompress(raw[at : at + n]))[1] for _, kind, at, n in zw.located(read(raw), len(raw)) if kind == "gzip"]
     assert bodies == [b"body %d" % k for k in range(options.get("n", 5))]
 
 
@@ -106,13 +106,59 @@ def test_zip64_end_record_and_extra_fields():
     assert len(list(zw.located(read(big), len(big)))) == 5
 
 
-def test_compressed_archives_are_left_out_and_damage_raises():
-    raw = archive(zipfile.ZIP_DEFLATED)
-    assert list(zw.located(read(raw), len(raw))) == []
+def test_damage_raises_value_error():
     good = archive(index=False)
-    for bad in (b"", b"not a zip", good[:-30], good.replace(b"PK\x01\x02", b"PK\x01\x03")):
-        with pytest.raises((ValueError, struct.error)):
+    for bad in (b"", b"not a zip", good[:-30], good.replace(b"PK\x01\x02", b"PK\x01\x03"), good.replace(b"PK\x03\x04", b"PK\x03\x05"), good.replace(b"\x1f\x8b\x08", b"\x1f\x8b\x09")):
+        with pytest.raises(ValueError):
             list(zw.located(read(bad), len(bad)))
+    outside = io.BytesIO()
+    with zipfile.ZipFile(outside, "w") as z:
+        z.writestr("archive/a.warc", zw.make_record(1, "u", b"x"))
+        z.writestr("indexes/index.cdxj", 'key 2024 {"filename": "a.warc", "offset": "5", "length": "100000"}')
+    with pytest.raises(ValueError):
+        list(zw.located(read(outside.getvalue()), len(outside.getvalue())))
+    for bad in (b"WARC/1.1\r\nWARC-Type: resource\r\n\r\nbody", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nbody", b"no record"):
+        with pytest.raises(ValueError):
+            zw.parse_record(bad)
+    for pieces in ([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nbody"], [gzip.compress(b"WARC/1.1\r\n")[:-3]], [b"x"]):
+        with pytest.raises(ValueError):
+            list(zw.streamed(iter(pieces)))
+
+
+def test_other_layouts_come_back_whole(spark, tmp_path):
+    """Archives made by zipfile: plain, gzipped and compressed members, partial and no indexes, all record types."""
+    message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n"
+    packed = gzip.compress(b"<p>hello</p>")
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:7], packed[7:])) + b"0\r\n\r\n"
+
+    def record(kind, k, body):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Date: 2020-0{k % 9 + 1}-01T00:00:00Z\r\nX-Own: v{k}\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    kinds = [("warcinfo", b"software: x\r\n\r\n"), ("request", b"GET / HTTP/1.1\r\n\r\n"), ("response", message + chunked), ("resource", b"\r\n\r\nWARC/1.0\r\n" * 3), ("metadata", b""), ("response", b"HTTP/1.1 200 OK\r\n\r\nplain"), ("resource", b"y" * 3_000_000)]
+    want = {"warcinfo": b"software: x\r\n\r\n"}
+    paths = []
+    for name, gzipped, method, indexed in (("a", False, zipfile.ZIP_STORED, 0), ("b", True, zipfile.ZIP_STORED, 3), ("c", False, zipfile.ZIP_DEFLATED, 0), ("d", True, zipfile.ZIP_DEFLATED, 0), ("e", False, zipfile.ZIP_STORED, 2)):
+        parts = [record(t, k, b) for k, (t, b) in enumerate(kinds)]
+        parts = [gzip.compress(x) for x in parts] if gzipped else parts
+        offsets = [sum(map(len, parts[:k])) for k in range(len(parts))]
+        member = "data.warc.gz" if gzipped else "data.warc"
+        with zipfile.ZipFile(tmp_path / f"{name}.wacz", "w", method) as z:
+            z.writestr("archive/" + member, b"".join(parts))
+            z.writestr("archive/empty.warc", b"")
+            if indexed:
+                z.writestr("indexes/index.cdxj", "\n".join("k 2020 " + json.dumps({"filename": member, "offset": str(offsets[k]), "length": str(len(parts[k]))}) for k in range(1, len(parts), indexed)))
+        paths.append(f"{tmp_path}/{name}.wacz")
+    rows = zw.read_archives(spark, paths).collect()
+    want = sorted((k, t, f"2020-0{k % 9 + 1}-01T00:00:00Z", f"v{k}", b"<p>hello</p>" if k == 2 else b"plain" if k == 5 else b) for k, (t, b) in enumerate(kinds))
+    for path in paths:
+        assert sorted((int(r.id), r.type, r.date, r.headers["x-own"], bytes(r.body)) for r in rows if r.path == path) == want, path
+
+
+def test_records_are_read_by_many_tasks(spark):
+    pages_ = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    paths = zw.write_archives(pages_, zw.new_path(spark, "wacz"))
+    assert zw.read_archives(spark, paths).rdd.getNumPartitions() > 1
 
 
 @settings(max_examples=50, deadline=None)
