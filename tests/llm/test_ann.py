@@ -50,3 +50,30 @@ def test_odd_rows(spark):
     assert got == [(1, 1, 2, 1.0), (1, 2, 9, 1.0), (2, 1, 9, 0.0), (2, 2, 1, 1.0), (3, 1, 1, 2.0), (3, 2, 2, 2.2361), (9, 1, 2, 0.0), (9, 2, 1, 1.0)]
     assert ann.neighbours(df.limit(0)).count() == 0
     assert ann.neighbours(df.where("vec_id = 3")).count() == 0
+
+
+def test_text_ids_and_huge_coordinates(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 6)).astype(np.float32)
+    names = [f"v{k:03}" for k in range(120)]
+    for scale in (1.0, 1e30):
+        big = (x * np.float32(scale)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist(), 1, "c") for i, v in zip(names, big, strict=True)], "vec_id string, embedding array<float>, id int, cell string")
+        got = {}
+        for r in ann.neighbours(df, k=3).collect():
+            got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour_id, r.distance)
+        at = {n: k for k, n in enumerate(names)}
+        for n in names:
+            d = np.linalg.norm(x.astype(np.float64) - x[at[n]].astype(np.float64), axis=1)
+            d[at[n]] = np.inf
+            assert [got[n][k][0] for k in (1, 2, 3)] == [names[j] for j in np.argsort(d)[:3]]
+            assert abs(got[n][1][1] / scale - d.min()) < 1e-3
+    assert ann.neighbours(df.limit(0)).schema["vec_id"].dataType.typeName() == "string"
+
+
+def test_crowded_cells_are_copied_and_others_are_not(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    key = lambda rows: sorted((r.vec_id, r.rank, r.neighbour_id) for r in rows)
+    assert key(ann.neighbours(df, cell=100, share=40).collect()) == key(ann.neighbours(df, cell=100).collect())

@@ -40,6 +40,16 @@ def test_rule_language(spark):
     assert uf.filtered(df.limit(0), RULES).count() == 0 and not any(r.blocked for r in uf.filtered(df, []).collect())
 
 
+def test_case_is_ignored_in_expressions_too(spark):
+    rules = ["/[A-Z]{3}Banner/", "/^https?:\\/\\/X\\.org\\/\\D+$/", "@@/OK[0-9]/"]
+    urls = ["http://q.net/ABCBanner", "http://q.net/abcbanner", "http://q.net/abBanner", "HTTPS://x.ORG/Path", "https://x.org/1", "http://q.net/xyzbanner/ok5", "http://q.net/" + "a" * 200_000 + "ABCBANNER"]
+    df = spark.createDataFrame([(i, u, "x", True, [1]) for i, u in enumerate(urls)], "page_id long, url string, low string, blocked boolean, rules array<int>")
+    assert [r.rules for r in uf.filtered(df, rules).orderBy("page_id").collect()] == [[0], [0], [], [1], [], [0, 2], [0]]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(urls)) + ") t(page_id, url)")
+    assert [r[3] for r in sorted(c.execute(uf.filter_sql(rules)).fetchall())] == [[0], [0], [], [1], [], [0, 2], [0]]
+
+
 def test_tokens_are_whole():
     assert uf.literal_tokens("||ads.example.com^") == ["ads", "com", "example"]
     assert uf.literal_tokens("banner") == [] and uf.literal_tokens("/banner*ad/") == [] or uf.literal_tokens("/banner*ad/") == []

@@ -14,9 +14,13 @@ other cells it is sent to, and those begin with that bound.
 The cells' cuts come from at most ``sample`` projected rows, those with the
 smallest hash of their id; cuts only shape the tree, all rows are searched.
 
-Defined cases: rows with a null id, or a vector that is null, has a null or
-non-finite coordinate, or has not the most frequent length, neither ask nor
-answer; rows equal in id and vector count once, and a row is never its own
+A cell that more than ``share`` others' vectors ask is copied for as many tasks
+as that takes; the others are not.
+
+Defined cases: ids may be whole numbers or of any type that can be ordered; huge
+coordinates are scaled for the search; rows with a null id, or a vector that is
+null, has a null or non-finite coordinate, or has not the most frequent length,
+neither ask nor answer; rows equal in id and vector count once, and a row is never its own
 id's neighbour; equal distances are ordered by id; with fewer than k others all
 of them are returned; an empty table gives an empty result; extra columns are
 ignored.
@@ -33,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import col
+from .order import numbered
 from .storage import written
 
 K, DIMS, CERTAINTY, SEED, CELL, LEAF, SAMPLE = 10, 8, 0.96, 7, 8192, 128, 65536
-MOST_CELLS, SALT = 65536, 1 << 17
+MOST_CELLS, SHARE = 65536, 1 << 16
 
 
 def chi_square(x: np.ndarray | float, dims: int) -> np.ndarray | float:
@@ -191,16 +197,36 @@ def _copy(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def neighbours(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = DIMS, certainty: float = CERTAINTY, seed: int = SEED, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
+def neighbours(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = DIMS, certainty: float = CERTAINTY, seed: int = SEED, sample: int = SAMPLE, cell: int = CELL, share: int = SHARE) -> DataFrame:
     """Columns vec_id, rank (from 1), neighbour_id, distance."""
     spark = rows.sparkSession
-    v = F.col(vector_col).cast("array<float>")
-    usable = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) <= 1e18)")
-    sizes = usable.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
-    empty = spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, distance double")
+    named = rows.select(col(id_col).alias("id"), col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))")
+    whole = isinstance(named.schema["id"].dataType, T.IntegralType)
+    ids = None
+    if not whole:  # other ids are searched under their numbers, which keep their order
+        ids = written(numbered(named.select("id").distinct(), ["id"], F.lit(0), "number"), "ids")
+        named = named.join(ids, "id").select(F.col("number").alias("id"), "v")
+    found = _searched(named.select(F.col("id").cast("long").alias("id"), "v"), k, dims, certainty, seed, sample, cell, share)
+    kind = rows.schema[id_col].dataType
+    if found is None:
+        return spark.createDataFrame([], T.StructType([T.StructField("vec_id", kind), T.StructField("rank", T.IntegerType()), T.StructField("neighbour_id", kind), T.StructField("distance", T.DoubleType())]))
+    if ids is None:
+        return found.withColumns({c: F.col(c).cast(kind) for c in ("vec_id", "neighbour_id")})
+    for c in ("vec_id", "neighbour_id"):
+        found = found.join(ids.select(F.col("number").alias(c), F.col("id").alias("own")), c).drop(c).withColumnRenamed("own", c)
+    return found.select("vec_id", "rank", "neighbour_id", "distance")
+
+
+def _searched(usable: DataFrame, k: int, dims: int, certainty: float, seed: int, sample: int, cell: int, share: int) -> DataFrame | None:
+    """The neighbours of whole ids, or None if there is no vector."""
+    largest = F.array_max(F.transform("v", F.abs))
+    sizes = usable.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.max(largest).alias("most")).orderBy(F.desc("n"), "w").first()
     if sizes is None:
-        return empty
+        return None
     width = sizes.w
+    power = max(0, math.frexp(sizes.most)[1] - 40)  # squares of huge coordinates must fit; a power of two changes no digit
+    if power:
+        usable = usable.withColumn("v", F.transform("v", lambda x: (x.cast("double") * 2.0**-power).cast("float")))
     matrix, quantile = projection(width, dims, seed), chi_square_quantile(certainty, dims)
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -222,7 +248,6 @@ def neighbours(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
     spans = points.groupBy("cell").agg(*(F.min(F.col("p")[d]).alias(f"l{d}") for d in range(dims)), *(F.max(F.col("p")[d]).alias(f"h{d}") for d in range(dims))).orderBy("cell").toPandas()  # at most MOST_CELLS rows
     number = spans["cell"].to_numpy(np.int32)
     low, high = (spans[[f"{s}{d}" for d in range(dims)]].to_numpy(np.float32) for s in "lh")
-    salts = max(1, math.ceil(n / SALT))
     search = _search_task(width, dims, k, quantile)
     own = points.groupBy("cell").cogroup(_copy(points).withColumn("bound", F.lit(float("inf"))).groupBy("cell")).applyInArrow(search, _FOUND)
     own = written(own, "own")
@@ -239,10 +264,14 @@ def neighbours(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes_))]) if sizes_ else np.zeros(1)
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
 
-    asking = points.join(own.select("id", "t", F.col("last").alias("bound")), ["id", "t"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    sent = asking.withColumn("cell", F.explode(others("p", "cell", "bound")))
-    answering = _copy(points).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Where each vector asks, without the vectors; a cell that many ask answers in several tasks, and only that one is copied.
+    asking = points.select("id", "t", "p", "cell").join(own.select("id", "t", F.col("last").alias("bound")), ["id", "t"])
+    routes = written(asking.select("id", "t", "bound", F.explode(others("p", "cell", "bound")).alias("to")), "routes")
+    copies = written(routes.groupBy("to").agg(F.ceil(F.count("*") / share).cast("int").alias("copies")), "copies")  # at most MOST_CELLS rows
+    told = routes.join(F.broadcast(copies), "to").withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.col("copies")).cast("int"))
+    sent = told.join(_copy(points).drop("cell"), ["id", "t"]).select("id", "t", "v", "p", "bound", F.col("to").alias("cell"), "salt")
+    answering = _copy(points).join(F.broadcast(copies.withColumnRenamed("to", "cell")), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     away = answering.groupBy("cell", "salt").cogroup(sent.groupBy("cell", "salt")).applyInArrow(search, _FOUND)
     both = own.select("id", "t", "found").unionByName(away.select("id", "t", "found"))
     best = both.groupBy("id", "t").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
-    return best.select(F.col("id").alias("vec_id"), F.posexplode("best").alias("pos", "b")).select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("b.i").alias("neighbour_id"), F.sqrt("b.d").alias("distance"))
+    return best.select(F.col("id").alias("vec_id"), F.posexplode("best").alias("pos", "b")).select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("b.i").alias("neighbour_id"), (F.sqrt("b.d") * 2.0**power).alias("distance"))
