@@ -106,6 +106,32 @@ def test_changes(report):
         report.toggle_attr("text")
 
 
+def test_log_and_version(report):
+    one = report.attr("reviewer", "ann")
+    assert (report.version, one.version, one.attr("reviewer", "ann").version, one.data("k", 1).version) == (1, 2, 2, 2)
+    assert one.data("k", 1).changes().count() == one.changes().count() == report.count()
+    assert one.markdown(lambda r, q: {"success": True, "markdown": "m"}, image_url="u")[1].changes().count() == report.count()
+    two = one.attr({"reviewer": "bob", "flagReason": "z"})
+    assert two.version == 3 and sorted({r.seq for r in two.changes().collect()}) == [1000, 2000, 2001]
+    assert two.select(".currency").version == 3 and two.clear_changes().version == 3 and not two.clear_changes().has_changes()
+    assert two.df.sparkSession is not None and "__log" not in two.ordered().columns
+    custom = one.toggle_attr("picked").toggle_attr("picked")
+    assert {(r.old_value, r.new_value) for r in custom.changes().where("field = 'picked'").collect()} == {(None, "true"), ("true", "false")} and custom.select("[picked=false]").count() == report.count()
+
+
+def test_groups_are_sets(report):
+    g = report.groups_by_type()
+    assert g.keys() == list(dict.fromkeys(report.types())) and len(g) == len(g.keys()) == len(list(g))
+    assert g["currency"].texts() == report.select(".currency").texts() and {k: s.count() for k, s in g.items()} == {k: report.types().count(k) for k in g}
+    assert report.groups_by_page()[1].select(".currency:first").ids() == report.on_page(1).select(".currency:first").ids()
+    assert g.take(1).ids() == [next(r.id for r in report.to_array() if r.type == k) for k in g.keys()]
+
+
+def test_document_of_a_set(spark):
+    doc = samples.load_sample(spark, "receipt")
+    assert doc.query().select(".currency").get_doc() is doc and EntitySet(doc.entities).get_doc() is None
+
+
 def test_data_and_markdown(report):
     d = report.data({"note": {"a": 1}})
     assert d.data("note") == {"a": 1} and d.data("confidence") == 0.97 and d.data("none") is None and not d.has_changes()

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import layers, mutate
+from .operators import layers, mutate, render
 from .operators.entityset import EntitySet
 from .plans import config
 from .sources import api, samples, schema, tree, views
@@ -131,6 +131,18 @@ _placed(
     SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY band, xmin, n)::INTEGER AS place FROM b""",
 )
 
+_WORDS = ["zebra", "Äpfel", "apple", "Zebra", "éclair", "Apple", "eclair", "10", "_x", "Ärger", "arg"]
+_WORDS_IN_ORDER = ["_x", "10", "Äpfel", "apple", "Apple", "arg", "Ärger", "eclair", "éclair", "zebra", "Zebra"]
+
+
+def _collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.create_map(*(F.lit(x) for k, w in enumerate(_WORDS) for x in (k, w)))
+    e = views.events_entities(spark, sf_dir).where(F.substring("id", 2, 20).cast("bigint") < len(_WORDS))
+    return EntitySet(e.withColumns({"text": F.try_element_at(words, F.substring("id", 2, 20).cast("int")), "doc_id": F.lit("d")})).sort_by("text")._ranked("place").select("text", "place")
+
+
+_register("sort_collation", _collated, f"SELECT unnest({_WORDS_IN_ORDER!r}) AS text, unnest(range(1, {len(_WORDS) + 1}))::INTEGER AS place")
+
 # Aggregates
 _STATS = "count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'flagged') AS flagged, count(*) FILTER (status = 'pending') AS pending, round(coalesce(count(*) FILTER (status = 'verified') / nullif(count(*), 0), 0), 6) AS score, round(coalesce(avg(confidence), 0), 6) AS avg_confidence"
 
@@ -153,6 +165,12 @@ _table(
     "SELECT page_index + 1 AS page, count(*) AS n, round(coalesce(sum(value_num), 0), 6) AS sum, round(coalesce(avg(value_num), 0), 6) AS avg, round(avg(confidence), 6) AS confidence FROM e WHERE type = 'currency' AND confidence > 0.9 GROUP BY 1",
 )
 _table("group_by_type", lambda s: s.group_by_type(n=F.count("*"), pages=F.count_distinct("page_index")), "SELECT type, count(*) AS n, count(DISTINCT page_index) AS pages FROM e GROUP BY type")
+_table(
+    "groups_are_sets", lambda s: EntitySet(s.df.where("page_index < 3")).groups_by_page()[2].select(".currency, .header").sort_by_confidence().take(2).df.select("doc_id", "id"),
+    ", b AS (SELECT *, CASE type WHEN 'currency' THEN 0 ELSE 1 END AS branch FROM e WHERE page_index = 1 AND type IN ('currency', 'header')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, branch, n) AS up FROM b) SELECT doc_id, id FROM r WHERE up <= 2",
+)
+_table("groups_take", lambda s: s.groups_by_type().take(2).df.select("doc_id", "id"), "SELECT doc_id, id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY n) AS up FROM e) WHERE up <= 2")
+_table("groups_keys", lambda s: s.df.sparkSession.createDataFrame([(i, k, g.df.count()) for i, (k, g) in enumerate(s.groups_by_type().items())], "place int, type string, n bigint"), ", f AS (SELECT type, min((doc_id, n)) AS first, count(*) AS n FROM e GROUP BY type) SELECT (row_number() OVER (ORDER BY first) - 1)::INTEGER AS place, type, n FROM f")
 _table("group_by_expr", lambda s: s.group_by(F.floor(F.col("confidence") * 10).cast("int"), "tenth"), "SELECT floor(confidence * 10)::INTEGER AS tenth, count(*) AS count FROM e GROUP BY 1")
 _table("some_every", lambda s: s.some("[value>400]", "doc_id").join(s.every("[confidence>=0.5]", "doc_id"), "doc_id"), "SELECT doc_id, coalesce(bool_or(coalesce(value_num > 400, false)), false) AS some, coalesce(bool_and(confidence >= 0.5), true) AS every FROM e GROUP BY doc_id")
 
@@ -170,7 +188,31 @@ _table(
 )
 _table("proj_map", lambda s: s.map(lambda df: F.concat("type", F.lit(":"), "id"), "label"), "SELECT doc_id, type || ':' || id AS label FROM e")
 _table("proj_first_text", lambda s: s.take(1).df.select("doc_id", "text"), f"SELECT doc_id, text FROM (SELECT *, {_RANK} AS up FROM e) WHERE up = 1")
-_table("proj_find", lambda s: s.filter(F.col("value_num") > 450).take(1).df.select("doc_id", "id"), f"SELECT doc_id, id FROM (SELECT *, {_RANK} AS up FROM e WHERE value_num > 450) WHERE up = 1")
+_table("proj_find", lambda s: s.filter(F.col("value_num") > 100).take(1).df.select("doc_id", "id"), f"SELECT doc_id, id FROM (SELECT *, {_RANK} AS up FROM e WHERE value_num > 100) WHERE up = 1")
+
+
+def _actions(s: EntitySet) -> DataFrame:
+    """What the actions return on the driver, a row an action."""
+    c = s.select(".currency")
+    short = EntitySet(c.df.where(F.col("doc_id") == "1"))
+    found, seen = c.find(F.col("value_num") > 100), []
+    short.each(lambda r: seen.append(r.id))
+    rows = [
+        ("first", c.first().id), ("last", c.last().id), ("text", c.text()), ("find", found and found.id), ("attr", str(c.attr("verificationStatus"))), ("attr_value", f"{c.attr('value'):.2f}"), ("data", str(c.data("verificationStatus"))), ("count", str(c.length)),
+        ("texts", "|".join(short.texts())), ("ids", "|".join(short.ids())), ("types", "|".join(short.types())), ("values", "|".join(f"{v:.2f}" for v in short.values())), ("each", "|".join(seen)), ("to_array", "|".join(r.id for r in short.to_array())), ("none", str(s.select("#none").text())),
+    ]
+    return s.df.sparkSession.createDataFrame(rows, "action string, result string")
+
+
+_table(
+    "actions", _actions,
+    """, c AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS up, row_number() OVER (ORDER BY doc_id, n DESC) AS back FROM e WHERE type = 'currency'), one AS (SELECT * FROM c WHERE doc_id = '1'),
+    f AS (SELECT id FROM c WHERE value_num > 100 ORDER BY up LIMIT 1)
+    SELECT 'first' AS action, id AS result FROM c WHERE up = 1 UNION ALL SELECT 'last', id FROM c WHERE back = 1 UNION ALL SELECT 'text', text FROM c WHERE up = 1 UNION ALL SELECT 'find', id FROM f
+    UNION ALL SELECT 'attr', status FROM c WHERE up = 1 UNION ALL SELECT 'attr_value', printf('%.2f', value_num) FROM c WHERE up = 1 UNION ALL SELECT 'data', status FROM c WHERE up = 1 UNION ALL SELECT 'count', count(*)::VARCHAR FROM c
+    UNION ALL SELECT 'texts', coalesce(string_agg(text, '|' ORDER BY n), '') FROM one UNION ALL SELECT unnest(['ids', 'each', 'to_array']), coalesce(string_agg(id, '|' ORDER BY n), '') FROM one
+    UNION ALL SELECT 'types', coalesce(string_agg(type, '|' ORDER BY n), '') FROM one UNION ALL SELECT 'values', coalesce(string_agg(printf('%.2f', value_num), '|' ORDER BY n), '') FROM one UNION ALL SELECT 'none', 'None'""",
+)
 _table(
     "with_table", lambda s: s.df.where("table_id is not null").alias("c").groupBy("doc_id", "table_id").agg(F.count("*").alias("cells"), F.max("row_index").alias("last_row")),
     "SELECT doc_id, table_id, count(*) AS cells, max(row_index) AS last_row FROM e WHERE table_id IS NOT NULL GROUP BY doc_id, table_id",
@@ -186,6 +228,26 @@ _table(
 _table("attr_set_custom", lambda s: s.attr("reviewer", "ann").select("[reviewer=ann]").stats().select("total"), "SELECT count(*) AS total FROM e")
 _table("attr_remove", lambda s: s.remove_attr("flagReason").changes().select(*_LOG), "SELECT doc_id, id AS entity_id, page_index, 'flagReason' AS field, flag_reason AS old_value, NULL::VARCHAR AS new_value FROM e WHERE flag_reason IS NOT NULL")
 _table("attr_toggle", lambda s: s.toggle_attr("verified").df.groupBy("verified").agg(F.count("*").alias("n")), "SELECT NOT verified AS verified, count(*) AS n FROM e GROUP BY 1")
+_table(
+    "attr_toggle_custom", lambda s: s.select(".text, .label").filter("[confidence>0.8]").attr("picked", True).toggle_attr("picked").toggle_attr("fresh").changes().groupBy("field", "old_value", "new_value").agg(F.count("*").alias("n")),
+    "SELECT f.field, f.old_value, f.new_value, count(*) AS n FROM e, (VALUES ('picked', NULL, 'true'), ('picked', 'true', 'false'), ('fresh', NULL, 'true')) f(field, old_value, new_value) WHERE type IN ('text', 'label') AND confidence > 0.8 GROUP BY ALL",
+)
+_table(
+    "attr_log_kept_by_data", lambda s: s.select(".currency").attr("verified", True).data("k", 1).data({"m": "x"}).changes().select(*_LOG),
+    "SELECT doc_id, id AS entity_id, page_index, 'verified' AS field, 'false' AS old_value, 'true' AS new_value FROM e WHERE type = 'currency' AND NOT verified",
+)
+
+
+def _versions(s: EntitySet) -> DataFrame:
+    one = s.select(".header").attr("reviewer", "ann")
+    steps = [("start", s), ("changed", one), ("same again", one.attr("reviewer", "ann")), ("data", one.data("k", 1)), ("changed twice", one.attr({"reviewer": "bob", "flagReason": "z"})), ("derived", one.select("[reviewer=ann]").attr("verifiedBy", "c")), ("cleared", one.clear_changes().toggle_attr("highlight"))]
+    return s.df.sparkSession.createDataFrame([(k, x.version, x.changes().count()) for k, x in steps], "step string, version int, changes bigint")
+
+
+_table(
+    "version_on_change", _versions,
+    ", h AS (SELECT count(*) AS k FROM e WHERE type = 'header') SELECT v.step, v.version, h.k * v.times AS changes FROM h, (VALUES ('start', 1, 0), ('changed', 2, 1), ('same again', 2, 1), ('data', 2, 1), ('changed twice', 3, 3), ('derived', 3, 1), ('cleared', 3, 1)) v(step, version, times)",
+)
 _table("data_set", lambda s: s.select(".text").data({"seen": 3}).df.select("doc_id", "id", F.try_element_at("data", F.lit("seen")).alias("seen")), "SELECT doc_id, id, '3' AS seen FROM e WHERE type = 'text'")
 _table(
     "apply_changes", lambda s: mutate.apply_changes(s.df, s.select(".currency").attr("verificationStatus", "verified").attr({"type": "money", "value": 1.5}).changes()).groupBy("type", "verification_status").agg(F.count("*").alias("n"), F.sum("value_num").alias("value")),
@@ -199,6 +261,8 @@ _table(
     "cfg_query_items", lambda s: config.query_items(s, _CONFIG).select("doc_id", "id", "page", "confidence", "status"),
     f"SELECT doc_id, id, page_index + 1 AS page, confidence, status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, n) AS up FROM e WHERE {_CONFIG_SQL}) WHERE up <= 5",
 )
+_BY_PAGE = config.QueryConfig(".text", sort_by="page", top_k=2)
+_table("cfg_sort_page", lambda s: config.query_items(s, _BY_PAGE).select("doc_id", "id", "page"), "SELECT doc_id, id, page_index + 1 AS page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, n) AS up FROM e WHERE type = 'text') WHERE up <= 2")
 _table("cfg_query_stats", lambda s: _rounded(config.query_stats(s, _CONFIG, "doc_id"), "score", "avg_confidence"), f"SELECT doc_id, {_STATS} FROM e WHERE {_CONFIG_SQL} GROUP BY doc_id")
 
 # Pages and documents
@@ -391,10 +455,32 @@ _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&
 _PLAIN_HTML = f"'<div class=\"x-entity type-' || type || ' status-' || status || '\"><div class=\"x-header\"><span class=\"x-type\">' || type || '</span></div><div class=\"x-text\">' || {_ESCAPED} || '</div></div>'"
 _PLAIN = {"include_metadata": False, "show_confidence": False, "show_status": False, "class_prefix": "x"}
 _table("html_render", lambda s: s.select(".text, .label").html(**_PLAIN).select("doc_id", F.md5("html").alias("html")), f", b AS (SELECT *, CASE type WHEN 'text' THEN 0 ELSE 1 END AS branch FROM e WHERE type IN ('text', 'label')) SELECT doc_id, md5(string_agg({_PLAIN_HTML}, chr(10) ORDER BY branch, n)) AS html FROM b GROUP BY doc_id")
-_register("html_full", lambda spark, d: _set(spark, d).html().select("doc_id", F.md5("html").alias("html")))
-_register("html_by_page", lambda spark, d: _set(spark, d).html_by_page().select("doc_id", F.md5("html").alias("html")))
-_register("html_document", lambda spark, d: _set(spark, d).select(".currency").html_document("Events").select("doc_id", F.md5("html").alias("html")))
-_register("json_export", lambda spark, d: _set(spark, d).json().select("doc_id", F.md5("json").alias("json")))
+_NUMBER = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+_FULL_HTML = (
+    "'<div class=\"vellum-entity type-' || type || ' status-' || status || '\" data-id=\"' || id || '\" data-type=\"' || type || '\" data-page=\"' || (page_index + 1) || '\" data-confidence=\"' || " + _NUMBER.format("confidence") + " || '\"><div class=\"vellum-header\"><span class=\"vellum-type\">' || type || '</span>"
+    "<span class=\"vellum-badge confidence' || CASE WHEN confidence > 0.9 THEN ' high' WHEN confidence < 0.7 THEN ' low' ELSE '' END || '\">' || round(confidence * 100)::INTEGER || '%</span><span class=\"vellum-badge status ' || status || '\">' || status || '</span>' || coalesce('<span class=\"vellum-value\">' || (" + _NUMBER.format("value_num") + f") || '</span>', '') || '</div><div class=\"vellum-text\">' || {_ESCAPED} || '</div></div>'"
+)
+_table("html_full", lambda s: s.html().select("doc_id", F.md5("html").alias("html")), f"SELECT doc_id, md5(string_agg({_FULL_HTML}, chr(10) ORDER BY n)) AS html FROM e GROUP BY doc_id")
+_table(
+    "html_by_page", lambda s: s.html_by_page().select("doc_id", F.md5("html").alias("html")),
+    f", p AS (SELECT doc_id, page_index + 1 AS page, min(n) AS n, string_agg({_FULL_HTML}, chr(10) ORDER BY n) AS html FROM e GROUP BY doc_id, page_index) SELECT doc_id, md5(string_agg('<div class=\"vellum-page\" data-page=\"' || page || '\"><div class=\"vellum-page-header\">Page ' || page || '</div><div class=\"vellum-page-content\">' || html || '</div></div>', chr(10) ORDER BY n)) AS html FROM p GROUP BY doc_id",
+)
+_DOCUMENT_HEAD = "<!DOCTYPE html>\n<html lang=\"en\"><head><meta charset=\"utf-8\"><title>Events</title><style>\n" + render.styles("vellum") + "\n</style></head><body><div class=\"vellum-document\">\n"
+_table(
+    "html_document", lambda s: s.select(".currency").html_document("Events").select("doc_id", F.md5("html").alias("html")),
+    f"SELECT doc_id, md5('{_DOCUMENT_HEAD}' || string_agg({_FULL_HTML}, chr(10) ORDER BY n) || chr(10) || '</div></body></html>') AS html FROM e WHERE type = 'currency' GROUP BY doc_id",
+)
+_register(
+    "html_tables", lambda spark, d: EntitySet(layers.table_entities(views.order_tables(spark, d))).html(**_PLAIN).select("doc_id", F.md5("html").alias("html")),
+    """WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem),
+    rows AS (SELECT l_orderkey, r, '<tr><td>p' || l_partkey || '</td><td>$' || (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || '</td><td>' || round(l_discount * 100)::INTEGER || '%</td><td>' || strftime(l_shipdate, '%Y-%m-%d') || '</td><td></td></tr>' AS html FROM i)
+    SELECT l_orderkey::VARCHAR AS doc_id, md5('<div class="x-entity type-table status-pending"><div class="x-header"><span class="x-type">table</span></div><table class="x-table"><thead><tr><th>part</th><th>price</th><th>discount</th><th>shipped</th><th></th></tr></thead><tbody>' || string_agg(html, chr(10) ORDER BY r) || '</tbody></table></div>') AS html FROM rows GROUP BY l_orderkey""",
+)
+_JSON = "array<struct<id: string, type: string, text: string, value: double, bbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>, meta: struct<verified: boolean, verificationStatus: string, confidence: double, wasCorrected: boolean, source: string, flagReason: string>, pageIndex: int, tableId: string, rowIndex: int, colIndex: int>>"
+_table(
+    "json_export", lambda s: s.json().select("doc_id", F.posexplode(F.from_json("json", _JSON)).alias("place", "x")).select("doc_id", "place", "x.id", "x.type", "x.text", "x.value", F.round("x.bbox.xmin", 6).alias("xmin"), F.round("x.bbox.ymin", 6).alias("ymin"), "x.meta.verified", "x.meta.verificationStatus", "x.meta.confidence", "x.meta.wasCorrected", "x.meta.source", "x.meta.flagReason", "x.pageIndex", "x.tableId", "x.rowIndex", "x.colIndex"),
+    f'SELECT doc_id, ({_RANK} - 1)::INTEGER AS place, id, type, text, value_num AS value, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, verified, status AS "verificationStatus", confidence, false AS "wasCorrected", \'ocr\' AS source, flag_reason AS "flagReason", page_index AS "pageIndex", table_id AS "tableId", row_index AS "rowIndex", col_index AS "colIndex" FROM e',
+)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

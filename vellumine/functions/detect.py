@@ -13,17 +13,16 @@ DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\z|^[0-9]{1,2}[-/][0-9]{1,2}[-/][0
 NUMBER = r"^-?[0-9,]+\.?[0-9]*\z"
 
 
+def trimmed_type(t: Column) -> Column:
+    """Type of a trimmed text; the patterns are tried only where the first character can begin one."""
+    numeric = F.contains(F.lit("$£€¥-,0123456789"), F.substring(t, 1, 1))
+    pattern = F.when(t.rlike(CURRENCY), "currency").when(t.rlike(PERCENTAGE), "percentage").when(t.rlike(DATE), "date").when(t.rlike(NUMBER), "number")
+    return F.coalesce(F.when(numeric, pattern), F.when(js.shorter(t, 50) & ~F.contains(t, F.lit("\n")), "label").when(t.isNotNull(), "text"))
+
+
 def entity_type(text: Column, label: Column | None = None) -> Column:
     """Label hints first (total, then date), then patterns (a plain number is currency), then length; NULL for NULL."""
-    t = js.trim(text)
-    shaped = (
-        F.when(t.rlike(CURRENCY), "currency")
-        .when(t.rlike(PERCENTAGE), "percentage")
-        .when(t.rlike(DATE), "date")
-        .when(t.rlike(NUMBER), "number")
-        .when((js.utf16_length(t) < 50) & ~F.contains(t, F.lit("\n")), "label")
-        .when(t.isNotNull(), "text")
-    )
+    shaped = js.once(js.trim(text), trimmed_type)
     if label is None:
         return shaped
     low = F.lower(label)
@@ -38,5 +37,4 @@ def prefix_number(text: Column) -> Column:
 
 def numeric_value(text: Column, kind: Column) -> Column:
     """Value of a currency, number or percentage; NULL for other kinds."""
-    x = prefix_number(text)
-    return F.when(kind.isin("currency", "number"), x).when(kind == "percentage", x / 100)
+    return F.when(kind.isin("currency", "number", "percentage"), prefix_number(text) / F.when(kind == "percentage", 100.0).otherwise(1.0))

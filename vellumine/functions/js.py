@@ -7,20 +7,26 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-PY_SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
+PY_SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _PREFIX = re.compile(r"[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
 _WHOLE = r"[+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
 def trim(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(PY_SPACE))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def number_text(x: Column) -> Column:
@@ -50,6 +56,12 @@ def to_number(s: Column) -> Column:
     )
 
 
+def shorter(c: Column, n: int) -> Column:
+    """Whether a text has fewer than ``n`` UTF-16 units; they are counted only where the characters don't tell."""
+    size = F.length(c)
+    return F.when(size >= n, False).when(size * 2 < n, True).otherwise(utf16_length(c) < n)
+
+
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units."""
     return F.length(F.regexp_replace(c, r"[\x{10000}-\x{10FFFF}]", "xx"))

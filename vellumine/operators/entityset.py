@@ -7,7 +7,7 @@ order there was.  Nothing runs before a result is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -25,12 +25,17 @@ _MISSING = object()
 
 @dataclass(frozen=True)
 class EntitySet:
-    """Entities, their order (columns, each ascending or descending) and the changes made."""
+    """Entities and their order (columns, each ascending or descending); the changes made are in the rows' log.
+
+    ``origin`` is the set with changes that this one is derived from, ``calls``
+    counts the changing calls behind it and ``document`` is what it belongs to.
+    """
 
     df: DataFrame
     order: tuple[tuple[str, bool], ...] = (("ord", True),)
-    log: DataFrame | None = None
-    version: int = 1
+    origin: EntitySet | None = None
+    calls: int = 0
+    document: Any = None
 
     # Helpers
 
@@ -44,7 +49,30 @@ class EntitySet:
         return self.df.withColumn(name, F.row_number().over(self._window()))
 
     def _of(self, df: DataFrame, order: tuple[tuple[str, bool], ...] | None = None) -> EntitySet:
-        return EntitySet(df, order or self.order, None, self.version)
+        return EntitySet(df.drop(mutate.LOG), order or self.order, self._versioned(), self.calls, self.document)
+
+    def _versioned(self) -> EntitySet | None:
+        return self if mutate.LOG in self.df.columns else self.origin
+
+    def next_seq(self) -> int:
+        """The number of the next logged change."""
+        return 1000 * (self.calls + 1)
+
+    def changed_to(self, df: DataFrame) -> EntitySet:
+        """This set with other rows and their longer log."""
+        return replace(self, df=df, calls=self.calls + 1)
+
+    @property
+    def version(self) -> int:
+        """1 and one more for each call that changed anything; counts the logs, so it runs jobs where there are any."""
+        before = self.origin.version if self.origin is not None else getattr(self.document, "version", 1)
+        if mutate.LOG not in self.df.columns:
+            return before
+        return before + mutate.changes_of(self.df).select(F.floor(F.col("seq") / 1000)).distinct().count()
+
+    def get_doc(self) -> Any:
+        """The compiled document that this set was made of, if it was."""
+        return self.document
 
     def _condition(self, p: Predicate) -> Column:
         if isinstance(p, str):
@@ -239,6 +267,19 @@ class EntitySet:
         first = F.min(F.struct("doc_id", *(k for k, _ in self.order)))
         return self.df.withColumn("__key", c).groupBy("__key").agg(*(v.alias(k) for k, v in found.items()), first.alias("__first")).orderBy("__first").drop("__first").withColumnRenamed("__key", name)
 
+    def groups(self, key: str | Column | Callable[[DataFrame], Column]) -> Groups:
+        """The groups of a key, each a set to query."""
+        c = F.col(key) if isinstance(key, str) else key if isinstance(key, Column) else key(self.df)
+        return Groups(self, c)
+
+    def groups_by_page(self) -> Groups:
+        """By page, counted from 1."""
+        return self.groups(F.col("page_index") + 1)
+
+    def groups_by_type(self) -> Groups:
+        """By type."""
+        return self.groups("type")
+
     def group_by_page(self, **aggregates: Column) -> DataFrame:
         """By page, counted from 1."""
         return self.group_by(F.col("page_index") + 1, "page", **aggregates)
@@ -340,15 +381,15 @@ class EntitySet:
 
     def changes(self) -> DataFrame:
         """The log of this set's changes; derived sets begin a new one."""
-        return self.log if self.log is not None else self.df.sparkSession.createDataFrame([], mutate.CHANGES)
+        return mutate.changes_of(self.df)
 
     def has_changes(self) -> bool:
         """Whether anything was changed."""
-        return self.log is not None and not self.log.isEmpty()
+        return mutate.LOG in self.df.columns and not self.changes().isEmpty()
 
     def clear_changes(self) -> EntitySet:
         """The same set with an empty log."""
-        return replace(self, log=None)
+        return replace(self, df=self.df.drop(mutate.LOG), origin=self._versioned())
 
     def mutation_log(self) -> DataFrame:
         """The log with the document version and the time of the request."""
@@ -381,6 +422,38 @@ class EntitySet:
         return mutate.markdown(self, transform, image_url, force, options)
 
 
+@dataclass(frozen=True)
+class Groups:
+    """The groups of a set; the keys come to the driver when they are asked for, the groups' entities don't."""
+
+    whole: EntitySet
+    key: Column
+
+    def keys(self) -> list[Any]:
+        """Keys in order of first appearance; a null key is one."""
+        first = F.min(F.struct("doc_id", *(k for k, _ in self.whole.order)))
+        return [r[0] for r in self.whole.df.withColumn("__key", self.key).groupBy("__key").agg(first.alias("__first")).orderBy("__first").select("__key").collect()]
+
+    def __getitem__(self, key: Any) -> EntitySet:
+        return self.whole._of(self.whole.df.where(self.key.eqNullSafe(F.lit(key))))
+
+    def __iter__(self) -> Iterator[Any]:
+        return iter(self.keys())
+
+    def __len__(self) -> int:
+        return len(self.keys())
+
+    def items(self) -> list[tuple[Any, EntitySet]]:
+        """Keys with their sets."""
+        return [(k, self[k]) for k in self.keys()]
+
+    def take(self, n: int) -> EntitySet:
+        """The first n of every group of each document, in one window whatever the number of groups."""
+        w = Window.partitionBy("doc_id", "__key").orderBy(*self.whole._sorting())
+        df = self.whole.df.withColumn("__key", self.key).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn", "__key")
+        return self.whole._of(df)
+
+
 def attribute_names() -> list[str]:
     """Names that selectors resolve without custom metadata."""
     return [*META, *FIELDS]

@@ -9,6 +9,7 @@ blocks), then place in the input.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import detect, js, mdtable
 from ..sources import schema as S
 
+if TYPE_CHECKING:
+    from .entityset import EntitySet
+
 
 @dataclass(frozen=True)
 class Options:
@@ -37,6 +41,12 @@ class Compiled:
     documents: DataFrame
     version: int = 1
 
+    def query(self) -> EntitySet:
+        """The entities as a set to query."""
+        from .entityset import EntitySet
+
+        return EntitySet(self.entities, document=self)
+
     def as_views(self, prefix: str = "") -> None:
         """Temporary views entities, pages and documents for SQL."""
         for name in ("entities", "pages", "documents"):
@@ -72,13 +82,16 @@ def table_entities(tables: DataFrame) -> DataFrame:
 
 
 def cell_entities(tables: DataFrame, auto_detect: bool = True) -> DataFrame:
-    """An entity for each cell with text; the boxes are an even grid."""
+    """An entity for each cell with text; the boxes are an even grid.
+
+    Outer explodes keep the optimizer from splitting the text again to test for rows.
+    """
     t = S.conformed(tables, S.TABLE_LAYER).where(F.col("markdown") != "").withColumn("__rows", mdtable.cell_rows(F.col("markdown")))
     n, most = F.size("__rows"), F.array_max(F.transform("__rows", F.size))
-    cells = t.withColumn("__n", n).withColumn("__most", most).select("*", F.posexplode("__rows").alias("__r", "__row")).select("*", F.posexplode("__row").alias("__c", "__text")).where(js.trim(F.col("__text")) != "")
+    cells = t.withColumn("__n", n).withColumn("__most", most).select("*", F.posexplode_outer("__rows").alias("__r", "__row")).select("*", F.posexplode_outer("__row").alias("__c", "__text")).where(F.col("__text") != "")
     b, r, c = F.col("bbox"), F.col("__r"), F.col("__c")
     height, width = (b["ymax"] - b["ymin"]) / F.col("__n"), (b["xmax"] - b["xmin"]) / F.col("__most")
-    kind = F.when(r == 0, "header").otherwise(detect.entity_type(F.col("__text")) if auto_detect else F.lit("table_cell"))
+    kind = F.when(r == 0, "header").otherwise(detect.trimmed_type(F.col("__text")) if auto_detect else F.lit("table_cell"))
     cells = cells.withColumn("__type", kind).withColumn("__box", F.struct((b["xmin"] + c * width).alias("xmin"), (b["ymin"] + r * height).alias("ymin"), (b["xmin"] + (c + 1) * width).alias("xmax"), (b["ymin"] + (r + 1) * height).alias("ymax")))
     cells = cells.withColumn("__table", F.col("id")).withColumn("id", F.concat("id", F.lit("_r"), r.cast("string"), F.lit("_c"), c.cast("string")))
     return _entities(

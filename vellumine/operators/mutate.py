@@ -1,13 +1,16 @@
 """Attribute changes as new DataFrames, with a log that can be replayed.
 
 Nothing changes in place: each call returns a set whose rows have the new values
-and whose log has one row a change.  The log's values are texts.
+and their own log, an array column, so any number of calls stays one scan and the
+log is exploded once, when it is asked for.  The log's values are texts.  Data
+and transformations are no logged changes: they leave log and version as they are.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -80,66 +83,68 @@ def _differs(df: DataFrame, key: str, value: Any) -> Column:
     return ~same
 
 
-def _logged(s: EntitySet, df: DataFrame, condition: Column, key: str, new: Column, seq: int, timestamp: int) -> DataFrame:
-    a = Attributes(frozenset(df.columns))
-    return df.where(condition).select(
-        "doc_id", F.col("id").alias("entity_id"), "ord", "page_index", F.lit(key).alias("field"), a.text(key).alias("old_value"), new.cast("string").alias("new_value"), F.lit(seq).cast("bigint").alias("seq"), F.lit(timestamp).cast("bigint").alias("timestamp")
-    )
+LOG = "__log"
+_ENTRY = "array<struct<field: string, old_value: string, new_value: string, seq: bigint, timestamp: bigint>>"
+
 
+def log_of(df: DataFrame) -> Column:
+    """The rows' log so far."""
+    return F.col(LOG) if LOG in df.columns else F.array().cast(_ENTRY)
 
-def _result(s: EntitySet, df: DataFrame, logs: list[DataFrame]) -> EntitySet:
-    from .entityset import EntitySet as Set
 
-    log = s.log
-    for x in logs:
-        log = x if log is None else log.unionByName(x)
-    return Set(df, s.order, log, s.version + 1)
+def changes_of(df: DataFrame) -> DataFrame:
+    """One row a change, in the shape of ``CHANGES``."""
+    rows = df.select("doc_id", F.col("id").alias("entity_id"), "ord", "page_index", F.explode(log_of(df)).alias("c"))
+    return rows.select("doc_id", "entity_id", "ord", "page_index", "c.*")
 
 
-def _next(s: EntitySet) -> int:
-    return s.version * 1000
+def _changed(s: EntitySet, df: DataFrame, condition: Column, key: str, new: Column, columns: dict[str, Column], seq: int, timestamp: int) -> DataFrame:
+    """Rows that meet the condition get the columns and a line of their log; their old values are those of ``df``."""
+    old = Attributes(frozenset(df.columns)).text(key)
+    entry = F.struct(F.lit(key).alias("field"), old.alias("old_value"), new.cast("string").alias("new_value"), F.lit(seq).cast("bigint").alias("seq"), F.lit(timestamp).cast("bigint").alias("timestamp"))
+    logged = F.when(condition, F.concat(log_of(df), F.array(entry).cast(_ENTRY))).otherwise(log_of(df))
+    return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) if c in df.columns else F.when(condition, v) for c, v in columns.items()} | {LOG: logged})
 
 
 def set_attributes(s: EntitySet, values: dict[str, Any], timestamp: int = 0) -> EntitySet:
     """Sets attributes of all rows; a row that has the value already is neither changed nor logged."""
-    df, logs = s.df, []
+    df = s.df
     for i, (key, value) in enumerate(values.items()):
-        differs = _differs(df, key, value)
-        logs.append(_logged(s, df, differs, key, F.lit(_text(value)), _next(s) + i, timestamp))
-        df = df.withColumns({c: F.when(differs, v).otherwise(F.col(c)) for c, v in _assigned(df, key, value).items()})
-    return _result(s, df, logs)
+        df = _changed(s, df, _differs(df, key, value), key, F.lit(_text(value)), _assigned(df, key, value), s.next_seq() + i, timestamp)
+    return s.changed_to(df)
 
 
 def remove_attributes(s: EntitySet, keys: list[str], timestamp: int = 0) -> EntitySet:
     """Removes metadata; entity fields are logged and stay."""
-    df, logs = s.df, []
+    df = s.df
     for i, key in enumerate(keys):
-        a = Attributes(frozenset(df.columns))
-        logs.append(_logged(s, df, a.present(key), key, F.lit(None), _next(s) + i, timestamp))
-        if key in META:
-            df = df.withColumn(META[key][0], F.lit(None).cast(df.schema[META[key][0]].dataType))
-        elif "extra" in df.columns:
-            df = df.withColumn("extra", _without("extra", key))
-    return _result(s, df, logs)
+        gone = {META[key][0]: F.lit(None).cast(df.schema[META[key][0]].dataType)} if key in META else {"extra": _without("extra", key)} if "extra" in df.columns else {}
+        df = _changed(s, df, Attributes(frozenset(df.columns)).present(key), key, F.lit(None), gone, s.next_seq() + i, timestamp)
+    return s.changed_to(df)
 
 
 def toggle(s: EntitySet, key: str, force: bool | None, timestamp: int = 0) -> EntitySet:
-    """Negates a boolean of each row; a missing one counts as false."""
+    """Negates a boolean or custom attribute of each row.
+
+    What is missing counts as false, and so do the custom values '', 'false', '0' and 'NaN'.
+    """
     if force is not None:
         return set_attributes(s, {key: force}, timestamp)
-    if key not in META or META[key][1] != "bool":
+    if key in FIELDS or key in META and META[key][1] != "bool":
         raise ValueError(f"{key} is no boolean attribute")
-    c = META[key][0]
-    new = ~F.coalesce(F.col(c), F.lit(False))
-    log = _logged(s, s.df, F.lit(True), key, new.cast("string"), _next(s), timestamp)
-    return _result(s, s.df.withColumn(c, new), [log])
+    if key in META:
+        new = ~F.coalesce(F.col(META[key][0]), F.lit(False))
+        return s.changed_to(_changed(s, s.df, F.lit(True), key, new.cast("string"), {META[key][0]: new}, s.next_seq(), timestamp))
+    old = F.coalesce("extra", F.create_map().cast("map<string,string>")) if "extra" in s.df.columns else F.create_map().cast("map<string,string>")
+    new = F.coalesce(F.try_element_at(old, F.lit(key)).isin("", "false", "0", "NaN"), F.lit(True)).cast("string")
+    return s.changed_to(_changed(s, s.df, F.lit(True), key, new, {"extra": F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), new))}, s.next_seq(), timestamp))
 
 
 def set_data(s: EntitySet, values: dict[str, Any]) -> EntitySet:
     """Adds data to all rows, as JSON; not logged."""
     new = F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, json.dumps(v))))
     old = F.map_filter(F.coalesce("data", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(list(values)))
-    return _result(s, s.df.withColumn("data", F.map_concat(old, new)), []).clear_changes()
+    return replace(s, df=s.df.withColumn("data", F.map_concat(old, new)))
 
 
 def apply_changes(entities: DataFrame, changes: DataFrame) -> DataFrame:
@@ -188,7 +193,7 @@ def markdown(s: EntitySet, transform: Callable[[Row, dict[str, Any]], dict[str,
     new = F.create_map(F.lit("transformation"), F.lit(json.dumps(answer)))
     this = (F.col("doc_id") == row.doc_id) & (F.col("id") == row.id) & F.col("ord").eqNullSafe(F.struct(*(F.lit(v).alias(k) for k, v in row.ord.asDict().items())).cast(s.df.schema["ord"].dataType))
     old = F.map_filter(F.coalesce("data", F.create_map().cast("map<string,string>")), lambda k, _: k != "transformation")
-    return answer["markdown"], _result(s, s.df.withColumn("data", F.when(this, F.map_concat(old, new)).otherwise(F.col("data"))), []).clear_changes()
+    return answer["markdown"], replace(s, df=s.df.withColumn("data", F.when(this, F.map_concat(old, new)).otherwise(F.col("data"))))
 
 
-__all__ = ["CHANGES", "apply_changes", "attribute", "datum", "markdown", "remove_attributes", "set_attributes", "set_data", "toggle"]
+__all__ = ["CHANGES", "LOG", "apply_changes", "attribute", "changes_of", "datum", "markdown", "remove_attributes", "set_attributes", "set_data", "toggle"]

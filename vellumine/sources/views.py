@@ -62,8 +62,8 @@ def line_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type and value of each line and of each word of the documents' lines."""
     lines = line_blocks(spark, sf_dir)
     words = lines.select("doc_id", F.explode(F.split("text", " ", -1)).alias("text")).where("text <> ''").unionByName(lines.select("doc_id", "text"))
-    kind = detect.entity_type(F.col("text"))
-    return words.select("doc_id", "text", kind.alias("type")).withColumn("value", detect.numeric_value(F.col("text"), F.col("type")))
+    kinds = words.withColumn("t", js.trim(F.col("text"))).withColumn("type", detect.trimmed_type(F.col("t")))
+    return kinds.select("doc_id", "text", "type", detect.numeric_value(F.col("text"), F.col("type")).alias("value"))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
