@@ -241,3 +241,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dates(spark):
+    from vellumine.functions import js
+
+    day = 1704412800000  # 2024-01-05
+    texts = {"2024-01-05": day, "2024-01-05T10:00:00Z": day + 36_000_000, "2024-01-05T10:00:00+02:00": day + 28_800_000, "2024/1/5": day, "01/05/2024": day, "January 5, 2024": day, "Jan 5, 2024 10:00:00": day + 36_000_000, "5 Jan 2024": day, "Fri, 05 Jan 2024 10:00:00 GMT": day + 36_000_000, "2024-01": 1704067200000, "2024": 1704067200000, "no date": None, "": None, "13/45/2024": None}
+    df = spark.createDataFrame([(k,) for k in texts], "t string").select("t", js.epoch_ms(F.col("t")).alias("ms"))
+    assert {r.t: r.ms for r in df.collect()} == texts

@@ -74,9 +74,23 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+_DATES = ("yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM", "yyyy")
+_TIMES = ("", " HH:mm", " HH:mm:ss")
+
+
 def epoch_ms(c: Column) -> Column:
-    """Milliseconds of an ISO date; NULL if it is none."""
-    return F.unix_millis(F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))))
+    """Milliseconds of a date text; NULL if it is none.
+
+    ISO texts, numeric dates with slashes (month first), English month names in
+    either order with or without a time, and mail dates ("Fri, 05 Jan 2024
+    10:00:00 GMT").  A date without a zone is one of the session's zone, which
+    should be UTC.
+    """
+    day = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +"
+    plain = F.regexp_replace(F.regexp_replace(trim(c), day, ""), r" +(?:GMT|UTC|Z)\z", "")
+    iso = F.try_to_timestamp(c)
+    other = F.coalesce(*(F.try_to_timestamp(plain, F.lit(d + t)) for d in _DATES for t in _TIMES if not t or len(d) > 7))
+    return F.unix_millis(F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?(?:[T ]|\z)"), F.coalesce(iso, F.try_to_timestamp(c, F.lit("yyyy-MM")))).otherwise(other))
 
 
 def rounded_percent(x: Column) -> Column:

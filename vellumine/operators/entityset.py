@@ -84,6 +84,10 @@ class EntitySet:
         df = self.df.orderBy("doc_id", *self._sorting())
         return df.drop(*(c for c in df.columns if c.startswith("__")))
 
+    def arranged(self) -> DataFrame:
+        """The entities in place within their document; a document is in one partition, documents come in no order."""
+        return self.df.repartition("doc_id").sortWithinPartitions("doc_id", *self._sorting())
+
     # Selection
 
     def select(self, selector: Predicate | None = None) -> EntitySet:
@@ -336,8 +340,8 @@ class EntitySet:
         return self
 
     def map(self, f: Callable[[DataFrame], Column], name: str = "value") -> DataFrame:
-        """A column made of every entity, in order."""
-        return self.df.withColumn("__v", f(self.df)).orderBy("doc_id", *self._sorting()).select("doc_id", F.col("__v").alias(name))
+        """A column made of every entity, in order within documents."""
+        return replace(self, df=self.df.withColumn("__v", f(self.df))).arranged().select("doc_id", F.col("__v").alias(name))
 
     def find(self, p: Column | Callable[[DataFrame], Column]) -> Row | None:
         """The first that a predicate holds for."""
@@ -348,10 +352,10 @@ class EntitySet:
         return self.ordered().collect()
 
     def items(self) -> DataFrame:
-        """Entities in the shape of query results, in order."""
+        """Entities in the shape of query results, in order within documents."""
         position = F.when(F.col("row_index").isNotNull(), F.struct(F.col("row_index").alias("row"), F.coalesce("col_index", F.lit(0)).alias("col")))
         value = F.coalesce(js.number_text(F.col("value_num")), F.col("value_str")) if "value_str" in self.df.columns else js.number_text(F.col("value_num"))
-        return self.ordered().select(
+        return self.arranged().select(
             "doc_id", "id", "type", "text", value.alias("value"), (F.col("page_index") + 1).alias("page"), "bbox", "confidence", F.col("verification_status").alias("status"), F.col("table_id").alias("tableId"), position.alias("position")
         )
 
