@@ -265,6 +265,23 @@ _BY_PAGE = config.QueryConfig(".text", sort_by="page", top_k=2)
 _table("cfg_sort_page", lambda s: config.query_items(s, _BY_PAGE).select("doc_id", "id", "page"), "SELECT doc_id, id, page_index + 1 AS page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, n) AS up FROM e WHERE type = 'text') WHERE up <= 2")
 _table("cfg_query_stats", lambda s: _rounded(config.query_stats(s, _CONFIG, "doc_id"), "score", "avg_confidence"), f"SELECT doc_id, {_STATS} FROM e WHERE {_CONFIG_SQL} GROUP BY doc_id")
 
+
+
+def _response(s: EntitySet) -> DataFrame:
+    r = config.execute_query(s, "1", config.QueryConfig(".currency", sort_by="confidence", top_k=4))
+    lines = config.format_response(r | {"duration": 0}, max_text=12).split("\n")
+    return s.df.sparkSession.createDataFrame(list(enumerate(lines)), "place int, line string")
+
+
+_table(
+    "cfg_response", _response,
+    """, c AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, n) AS up FROM e WHERE doc_id = '1' AND type = 'currency'), t AS (SELECT count(*) AS k, count(*) FILTER (status = 'verified') AS v, count(*) FILTER (status = 'flagged') AS f, count(*) FILTER (status = 'pending') AS p, avg(confidence) AS a FROM c),
+    item AS (SELECT up, unnest(['[' || (page_index + 1) || ':' || id || '] ' || type || ' (' || round(confidence * 100)::INTEGER || '%)', '  ' || left(text, 12) || CASE WHEN length(text) > 12 THEN '...' ELSE '' END, '  value: ' || CASE WHEN value_num = floor(value_num) THEN value_num::BIGINT::VARCHAR ELSE value_num::VARCHAR END, '']) AS line, unnest(range(4)) AS o FROM c WHERE up <= 4),
+    every AS (SELECT 0 AS a, 0::BIGINT AS up, o, line FROM (SELECT unnest(['Query: .currency', 'Document: 1', 'Results: ' || least(k, 4) || '/' || k || ' (0ms)', '']) AS line, unnest(range(4)) AS o FROM t) UNION ALL SELECT 1, up, o, line FROM item
+      UNION ALL SELECT 2, 0, o, line FROM (SELECT unnest(['---', 'Stats: ' || v || ' verified, ' || f || ' flagged, ' || p || ' pending', 'Avg confidence: ' || printf('%.1f', coalesce(a, 0) * 100) || '%']) AS line, unnest(range(3)) AS o FROM t))
+    SELECT (row_number() OVER (ORDER BY a, up, o) - 1)::INTEGER AS place, line FROM every""",
+)
+
 # Pages and documents
 _PAGE = "doc_id, page_index, count(*) AS total_entities, count(*) FILTER (status = 'verified') AS verified_count, count(*) FILTER (status = 'flagged') AS flagged_count, count(*) FILTER (status = 'pending') AS pending_count, round(avg(confidence), 6) AS avg_confidence, round(count(*) FILTER (status = 'verified') / count(*), 6) AS verification_score"
 _table("page_meta", lambda s: _rounded(layers.page_meta(s.df), "avg_confidence", "verification_score"), f"SELECT {_PAGE} FROM e GROUP BY doc_id, page_index")
@@ -450,6 +467,25 @@ def _html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _register("html_to_markdown_rows", _html_rows, "SELECT page_id, '| id | page |' || chr(10) || '|---|---|' || chr(10) || '| ' || page_id || ' | ' || url || ' |' AS markdown FROM pages")
 
+
+
+def _page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' own lists, read as table rows."""
+    from .functions import mdtable
+
+    html = F.col("html")
+    for a, b in (("<ul>", "<table><tr>"), ("</ul>", "</tr></table>"), ("<li>", "<td>"), ("</li>", "</td>")):
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mdtable.markdown_of(mdtable.html_rows(html)).alias("markdown"))
+
+
+_register(
+    "html_page_tables", _page_tables,
+    """WITH r AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1), lambda x: list_transform(regexp_extract_all(x, '(?s)<li>(.*?)</li>', 1), lambda c: trim(regexp_replace(c, '<[^>]*>', '', 'g')))), lambda x: len(x) > 0) AS rows FROM pages),
+    l AS (SELECT page_id, rows, list_transform(rows, lambda x: '| ' || array_to_string(x, ' | ') || ' |') AS lines FROM r)
+    SELECT page_id, CASE WHEN len(rows) = 0 THEN '' ELSE array_to_string(list_concat([lines[1], '|' || array_to_string(list_transform(rows[1], lambda x: '---'), '|') || '|'], lines[2:]), chr(10)) END AS markdown FROM l""",
+)
+
 # Renderings
 _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
 _PLAIN_HTML = f"'<div class=\"x-entity type-' || type || ' status-' || status || '\"><div class=\"x-header\"><span class=\"x-type\">' || type || '</span></div><div class=\"x-text\">' || {_ESCAPED} || '</div></div>'"
