@@ -42,7 +42,7 @@ from .order import numbered
 from .storage import written
 
 K, DIMS, CERTAINTY, SEED, CELL, LEAF, SAMPLE = 10, 8, 0.96, 7, 8192, 128, 65536
-MOST_CELLS, SHARE = 65536, 1 << 16
+MOST_CELLS, SHARE, QUERIES = 65536, 1 << 16, 8192
 
 
 def chi_square(x: np.ndarray | float, dims: int) -> np.ndarray | float:
@@ -119,10 +119,15 @@ class Cell:
         self.end = np.append(self.first[1:], len(ids))
         self.low = np.minimum.reduceat(p, self.first, axis=0) if len(ids) else p
         self.high = np.maximum.reduceat(p, self.first, axis=0) if len(ids) else p
-        self.norm = (self.vectors.astype(np.float32) ** 2).sum(axis=1)
+        norm = (self.vectors**2).sum(axis=1, keepdims=True)
+        self.wide = np.concatenate([-2 * self.vectors, norm], axis=1)  # times (q, 1): the squared distance without that of q
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, bound: np.ndarray, k: int, quantile: float, wave: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of up to k neighbours of each query, none beyond its bound (squared); missing: infinite."""
+        """Ids and squared distances of up to k neighbours of each query, none beyond its bound (squared); missing: infinite.
+
+        Each query takes its leaves by their projected distance, ``wave`` at a
+        time; the queries that take the same leaf are compared with it at once.
+        """
         n, leaves = len(ids), len(self.first)
         best_d, best_i = np.full((n, k), np.inf, np.float32), np.zeros((n, k), self.ids.dtype)
         if not n or not leaves:
@@ -131,38 +136,47 @@ class Cell:
         rank = np.argsort(gap, axis=1, kind="stable")
         sorted_gap = np.take_along_axis(gap, rank, axis=1)
         norm = (vectors**2).sum(axis=1)
+        wide = np.concatenate([vectors, np.ones((n, 1), np.float32)], axis=1)
         limit = bound.astype(np.float32).copy()
         live = np.arange(n)
-        widest = int((self.end - self.first).max())
         for r in range(0, leaves, wave):
             live = live[sorted_gap[live, r] < limit[live] * quantile]
             if not len(live):
                 break
-            d = np.full((len(live), wave * widest), np.inf, np.float32)
-            who = np.full((len(live), wave * widest), -1, np.int64)
-            for w in range(min(wave, leaves - r)):
-                go = np.flatnonzero(sorted_gap[live, r + w] < limit[live] * quantile)
-                at = rank[live[go], r + w]
-                order = np.argsort(at, kind="stable")
-                edge = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0])) if len(at) else []
-                for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True) if len(at) else ():
-                    rows = go[order[a:b]]
-                    leaf = at[order[a]]
-                    s, e = self.first[leaf], self.end[leaf]
-                    q = live[rows]
-                    x = norm[q][:, None] + self.norm[None, s:e] - 2 * (vectors[q] @ self.vectors[s:e].T)
-                    x[ids[q][:, None] == self.ids[None, s:e]] = np.inf
-                    cols = slice(w * widest, w * widest + e - s)
-                    d[rows, cols] = np.maximum(x, 0)
-                    who[rows, cols] = np.arange(s, e)
-            np.putmask(d, d > limit[live][:, None], np.inf)
-            keep = min(k, d.shape[1])
-            near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-            new_d, new_i = np.take_along_axis(d, near, axis=1), self.ids[np.maximum(np.take_along_axis(who, near, axis=1), 0)]
-            all_d, all_i = np.concatenate([best_d[live], new_d], axis=1), np.concatenate([best_i[live], new_i], axis=1)
-            order = np.argsort(all_d, axis=1, kind="stable")[:, :k]
-            best_d[live], best_i[live] = np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_i, order, axis=1)
-            limit[live] = np.minimum(limit[live], best_d[live, k - 1])
+            row, col_ = np.nonzero(sorted_gap[live, r : r + wave] < (limit[live] * quantile)[:, None])
+            query = live[row]
+            at = rank[query, r + col_]
+            order = np.argsort(at, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+            found = []
+            for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+                q = query[order[a:b]]
+                s, e = self.first[at[order[a]]], self.end[at[order[a]]]
+                x = wide[q] @ self.wide[s:e].T
+                open_ = ~np.isfinite(limit[q])
+                if open_.any() and e - s > k:  # no bound yet: the k nearest of the leaf
+                    y = x[open_]
+                    y[ids[q[open_]][:, None] == self.ids[None, s:e]] = np.inf
+                    near = np.argpartition(y, k - 1, axis=1)[:, :k]
+                    i, j = np.repeat(q[open_], k), near.ravel()
+                    found.append((i, s + j, np.take_along_axis(y, near, axis=1).ravel()))
+                    q, x = q[~open_], x[~open_]
+                i, j = np.nonzero(x <= (limit[q] - norm[q] * np.float32(1 - 1e-5))[:, None])
+                found.append((q[i], s + j, x[i, j]))
+            q, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            own = ids[q] == self.ids[j]
+            q, j, d = q[~own], j[~own], np.maximum(d[~own] + norm[q[~own]], 0)
+            if not len(q):
+                continue
+            hit = np.unique(q)
+            q, d, i = np.concatenate([q, np.repeat(hit, k)]), np.concatenate([d, best_d[hit].ravel()]), np.concatenate([self.ids[j], best_i[hit].ravel()])
+            order = np.lexsort((i, d, q))
+            q, d, i = q[order], d[order], i[order]
+            place = np.arange(len(q)) - np.repeat(np.flatnonzero(np.diff(q, prepend=-1)), np.unique(q, return_counts=True)[1])
+            first = place < k
+            best_d[q[first], place[first]], best_i[q[first], place[first]] = d[first], i[first]
+            limit[hit] = np.minimum(limit[hit], best_d[hit, k - 1])
+        best_d[best_d > bound[:, None]] = np.inf
         return best_i, best_d
 
 
@@ -177,8 +191,8 @@ def _search_task(width: int, dims: int, k: int, quantile: float):
         cell = Cell(points["id"].to_numpy(), _matrix(points["v"], width), _matrix(points["p"], dims))
         ids, out = queries["id"].to_numpy(), []
         vectors, projected, bound = _matrix(queries["v"], width), _matrix(queries["p"], dims), queries["bound"].to_numpy()
-        for a in range(0, len(ids), 1024):
-            b = slice(a, a + 1024)
+        for a in range(0, len(ids), QUERIES):
+            b = slice(a, a + QUERIES)
             i, d = cell.search(ids[b], vectors[b], projected[b], bound[b], k, quantile)
             ok = np.isfinite(d)
             bounds = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
