@@ -74,6 +74,7 @@ OTHER_WORDS = frozenset("version license licence page chapter section figure tab
 DOMAINS = frozenset("com org net edu gov io info biz de fr es uk eu us ca au jp cn in it nl ch at be se no dk fi pl ru br mx".split())
 COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91".split())
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "pk_", "xox", "eyJ", "AIza")
+_MARK = re.compile(r"[\d@]|::")
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 _SMALL = frozenset(FUNCTION_WORDS)
 _GIVEN_SET = frozenset(GIVEN_NAMES)
@@ -205,17 +206,24 @@ def shape(kind: str, span: str, words: list[str], left: str, voted: tuple[int, .
     )
 
 
-def spans(text: str) -> Iterator[tuple[int, int, str]]:
-    """Candidate spans of one text, without names; what is assigned to a key word replaces plain numbers in it."""
-    found = [(m.start(), m.end(), m.lastgroup or "NUMBER") for m in CANDIDATE.finditer(text)]
+def spans(text: str, keyed: bool = True) -> Iterator[tuple[int, int, str]]:
+    """Candidate spans of one text, without names; what is assigned to a key word (if there is any) replaces plain numbers in it.
+
+    No candidate goes over a line's end, so only lines with a digit, an @ or two colons are searched.
+    """
+    found, at = [], 0
+    for line in text.split("\n"):
+        if _MARK.search(line):
+            found += [(at + m.start(), at + m.end(), m.lastgroup or "NUMBER") for m in CANDIDATE.finditer(line)]
+        at += len(line) + 1
     given = []
-    for m in ASSIGNED.finditer(text):
+    for m in ASSIGNED.finditer(text) if keyed else ():
         group = "a" if m["a"] else "b"
         start, end = m.start(group), m.start(group) + len(m[group].rstrip(".!?)"))
         over = [x for x in found if x[0] < end and start < x[1]]
         if end - start >= 6 and all(k in ("NUMBER", "DIGITS", "PHONE") for _, _, k in over):
             given.append((start, end, "ASSIGNED"))
-    yield from sorted([x for x in found if not any(x[0] < b and a < x[1] for a, b, _ in given)] + given)
+    yield from sorted([x for x in found if not any(x[0] < b and a < x[1] for a, b, _ in given)] + given) if given else found
 
 
 def people(text: str) -> Iterator[tuple[int, int, str]]:
@@ -272,6 +280,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(data):
             continue
         numeric: set[int] = set()
+        keyed: set[int] = set()
         named: set[int] = set()
         for i, j in tb.chunks(offsets):
             part = data[offsets[i] : offsets[j]]
@@ -284,7 +293,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(start):
                 continue
             h = tb.span_hashes(low, start, end)
-            for known, out in ((_KEY_HASHES, numeric), (_NAME_HASHES, named)):
+            for known, out in ((_KEY_HASHES, keyed), (_NAME_HASHES, named)):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 out.update((np.unique(doc[known[at] == h]) + i).tolist())
             second = np.minimum(start + 1, len(part) - 1)
@@ -293,9 +302,9 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             named.update((np.unique(doc[1:][pair]) + i).tolist())
         rows: list[int] = []
         out: list[tuple] = []
-        for k in sorted(numeric | named):
+        for k in sorted(numeric | keyed | named):
             text = column[k].as_py()
-            found = [*(spans(text) if k in numeric else ()), *(people(text) if k in named else ())]
+            found = [*(spans(text, k in keyed) if k in numeric or k in keyed else ()), *(people(text) if k in named else ())]
             for start, end, kind in found:
                 rows.append(k)
                 out.append((start, end, *_described(text, start, end, kind)))
