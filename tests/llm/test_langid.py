@@ -131,3 +131,61 @@ def test_foreign_bytes_are_rejected_and_odd_rows_defined(spark, odd, nothing):
 def test_order_must_fit():
     with pytest.raises(Exception):
         langid.Model({"x": [None]}).lengths(np.zeros(3, np.uint8), None)
+
+
+def test_every_labelled_text_counts_and_sets_limits(spark):
+    """Halves by hash, models of all texts of the other half, limits of all that is held out, junk left out: by loops."""
+    junk = [(None, "qxz vbk wjq pfh zzk xqj vkw " * 9, "en"), (10**6, "wkq zxv " * 40, "de")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    rows = [(r.lang, r.f, r.text) for r in docs.withColumn("f", F.expr("pmod(xxhash64(text), 2)")).collect() if r.text is not None]
+    letters = lambda t: langid.normal(*textbytes.utf8(pa.array([t])))[0].tobytes()
+    halves = [langid.Model({x: [letters(t) for lang, half, t in rows if (lang, half) == (x, f)] for x in ("de", "en", "es", "fr")}) for f in (0, 1)]
+    rates = defaultdict(list)
+    for f in (0, 1):
+        mine = [(x, letters(t)) for x, half, t in rows if half == f]
+        bits = halves[1 - f].lengths(np.frombuffer(b"".join(t for _, t in mine), np.uint8), np.cumsum([0] + [len(t) for _, t in mine]))
+        for (x, t), b in zip(mine, bits, strict=True):
+            if len(t) >= langid.LEAST_SIZE and halves[1 - f].languages[b.argmin()] == x and b.min() <= langid.REJECT_BITS * len(t):
+                rates[x].append(b.min() / len(t))
+    limits = {x: np.mean(v) + langid.SPREAD * np.std(v) for x, v in rates.items()}
+    assert sum(map(len, rates.values())) > 900 and min(map(len, rates.values())) > 90
+    model = langid.train(docs)
+    assert model.limits == pytest.approx(limits)
+    texts = defaultdict(list)
+    out = []
+    for f in (0, 1):
+        halves[1 - f].limits = limits
+        mine = [(x, t) for x, half, t in rows if half == f]
+        judged = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(mine)], "k int, t string").select("k", langid.scored(F.col("t"), halves[1 - f]).alias("s")).collect()
+        for r in judged:
+            if r.s.accepted:
+                texts[mine[r.k][0]].append(letters(mine[r.k][1]))
+            else:
+                out.append(mine[r.k][1])
+    assert {t for _, t, _ in junk} <= set(out) and len(out) < 20
+    whole = langid.Model(texts)
+    assert len(whole.cost) == len(model.cost) and np.allclose(whole.cost, model.cost) and np.allclose(whole.escape, model.escape) and (whole.child == model.child).all()
+    assert not any(r.accepted for r in langid.identify(docs).where("doc_id is null or doc_id = 1000000").collect())
+
+
+def test_every_label_is_a_language(spark):
+    """130 labels, the two rarest with letters of their own and without ids."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} some words that all of the labels have", f"l{k:03}") for k in range(128) for _ in range(3)]
+    rows += [(None, "погода сегодня хорошая", "x1"), (None, "ωραίος καιρός σήμερα", "x2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(docs).languages) == 130
+    assert {r.label: (r.detected, r.accepted) for r in langid.identify(docs).where("doc_id is null").collect()} == {"x1": ("x1", True), "x2": ("x2", True)}
+
+
+def test_counts_of_many_batches_are_merged_and_handed_on(spark, monkeypatch):
+    texts = [f"{chr(97 + k % 7)}{chr(97 + k % 11)}{chr(97 + k % 13)} abc" for k in range(60)]
+    want = langid.grams(*textbytes.utf8(pa.array(texts)), 3)
+    keyed = spark.createDataFrame([("x", t) for t in texts], "l string, t string").repartition(3).withColumn("f", F.lit(0)).cache()
+    for least in (1 << 22, 40, 1):
+        monkeypatch.setattr(langid, "HELD_IN_MEMORY", least)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        try:
+            got = langid.counted(keyed, 3)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert list(got) == [("x", 0)] and all((a == b).all() for a, b in zip(got["x", 0], want, strict=True))

@@ -17,27 +17,36 @@ by the language that codes it best, together exceed those languages' limits a
 byte by more than ``slack_bits``, when less than ``least_letters`` of its bytes
 other than white space are letters, or when it is null or blank.  (So a text in
 two known languages is explained.)  A language's limit is the
-mean of the code lengths a byte of held-out labelled texts that it codes best,
-plus ``spread`` standard deviations, at most ``REJECT_BITS``, which is below the
-eight bits of a uniform code; a language with fewer than ``LEAST_HELD`` such
-texts has ``REJECT_BITS`` itself.
-
-Training reads at most ``per_language`` labelled texts of each language, those
-with the smallest hash of their id, whole; the next ``held_out`` of each set the
-limits.  Of more than ``most_languages`` labels the most frequent are trained.
+mean of the code lengths a byte of held-out labelled texts that it codes best
+within ``REJECT_BITS``, plus ``spread`` standard deviations, at most
+``REJECT_BITS``, which is below the eight bits of a uniform code; a language with
+fewer than ``LEAST_HELD`` such texts has ``REJECT_BITS`` itself.
+
+Training reads every labelled text, whole, and every label is a language.
+Executors count each byte with the ``order`` bytes before it, so the driver gets
+the distinct ones a language and no texts.  For the limits the texts are parted
+in halves by their hash, equal texts together, and each half is held out from a
+model of the other: every labelled text is scored once by counts it is not in.
+A text of a language whose limit is measured and below ``REJECT_BITS`` is
+rejected by that same rule if the other half doesn't explain it; then its counts
+are taken out again, for junk would else explain itself.
 Contexts seen fewer than ``least`` times in all languages are dropped.  Costs are
 kept for the pairs of context and byte that some language has seen, so a model
-has pairs x languages numbers.
+has pairs x languages numbers.  ``per_language`` bounds the texts of a language
+to those with the smallest hash of their id, only when a caller sets it.
 
 Defined cases: null or blank text gives language null, bits null, accepted
 false; a text without letters is named after the first language and rejected;
 equal code lengths go to the first language in alphabetical order;
-rows with a null id or label are scored like any others; repeated rows stay;
+rows with a null id or label are scored like any others; repeated rows stay and
+count as often as they occur; a label without letters in any text is no language;
 without any labelled text every text is rejected; extra columns are carried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -46,11 +55,11 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .columns import col
-from .storage import written
 
-ORDER, LEAST, PER_LANGUAGE, HELD_OUT, MOST_LANGUAGES = 3, 2, 96, 400, 128
+ORDER, LEAST = 3, 2
 REJECT_BITS, SLACK_BITS, SPREAD, LEAST_LETTERS = 7.0, 128.0, 6.0, 0.2
 LEAST_HELD, LEAST_SIZE, STRETCH = 8, 64, 128
+HELD_IN_MEMORY = 1 << 22  # distinct grams that a task merges before it hands them on
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("size", T.IntegerType()), T.StructField("accepted", T.BooleanType())])
 
 
@@ -78,37 +87,80 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low[keep], sums[0], np.diff(sums[1]), np.diff(sums[2])
 
 
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with the sum of its counts."""
+    if not len(keys):
+        return keys, counts
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[by], first)
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each byte of the texts, or end of one as a zero, stands after which ``order`` bytes.
+
+    A gram is a number with the byte lowest and the bytes before it above, nearest first, zeros
+    before the text's start.  Texts have no zero bytes.
+    """
+    if not 0 <= order <= 7:
+        raise ValueError("an order is 0 to 7")
+    n, kind = len(offsets) - 1, np.uint32 if order < 4 else np.uint64
+    padded = np.zeros(len(data) + n, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
+    key, inside = padded.astype(kind), np.ones(len(padded), bool)
+    for d in range(1, order + 1):
+        inside[:d] = False
+        inside[d:] &= padded[:-d] > 0
+        before = np.zeros(len(padded), kind)
+        before[d:] = padded[:-d]
+        before[~inside] = 0
+        key |= before << kind(8 * d)
+    keys, counts = np.unique(key[key > 0], return_counts=True)
+    return keys.astype(np.uint64), counts.astype(np.int64)
+
+
 class Model:
     """Context tree of all languages together, with the cost of the bytes that each context has seen."""
 
     def __init__(self, texts: dict[str, list[str | bytes]], order: int = ORDER, least: int = LEAST) -> None:
-        self.languages, self.order = sorted(texts), order
+        counts = {}
+        for x, ts in texts.items():
+            parts = [t if isinstance(t, bytes) else t.encode() for t in ts if t]
+            counts[x] = grams(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), order)
+        self._grown(counts, order, least)
+
+    @classmethod
+    def counted(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, least: int = LEAST) -> Model:
+        """A model of the distinct ``grams`` of each language and their counts."""
+        model = cls.__new__(cls)
+        model._grown(counts, order, least)
+        return model
+
+    def _grown(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, least: int) -> None:
+        self.languages, self.order = sorted(counts), order
         self.limits = dict.fromkeys(self.languages, REJECT_BITS)
-        if not texts:
+        if not counts:
             return
-        flat = {x: [np.frombuffer(t if isinstance(t, bytes) else t.encode(), np.uint8) for t in texts[x] if t] for x in self.languages}
+        keys, weights = [counts[x][0] for x in self.languages], [counts[x][1] for x in self.languages]
+        part = lambda x, d: (x >> np.uint64(8 * d)).astype(np.uint8)
         seen = np.zeros(256, bool)
-        for parts in flat.values():
-            for p in parts:
-                seen[p] = True
-        self.code = np.zeros(256, np.int32)  # 0: never seen, and what stands before each text
+        for x in keys:
+            seen[part(x, 0)] = True
+        seen[0] = False
+        self.code = np.zeros(256, np.int32)  # 0: never seen, and what stands before and after each text
         self.code[seen] = np.arange(1, seen.sum() + 1)
         m = self.width = int(seen.sum()) + 1
-        rows = []
-        for x in self.languages:
-            padded = [np.zeros(order, np.int32)]
-            for p in flat[x]:
-                padded += [self.code[p], np.zeros(order, np.int32)]
-            rows.append(np.concatenate(padded).astype(np.int64))
+        rows = [self.code[part(x, 0)].astype(np.int64) for x in keys]
         self.child, self.parent = np.full((1, m), -1, np.int32), np.full(1, -1, np.int32)
         self.pair = np.full((1, m), -1, np.int32)
         self.cost, self.escape = np.zeros((0, len(rows)), np.float64), np.zeros((0, len(rows)), np.float64)
         nodes = [np.zeros(len(x), np.int64) for x in rows]
-        self._priced(rows, nodes, 0)
+        self._priced(rows, nodes, weights, 0)
         for d in range(1, order + 1):
-            before = [np.concatenate([np.zeros(min(d, len(x)), np.int64), x[:-d]]) for x in rows]
+            before = [self.code[part(x, d)].astype(np.int64) for x in keys]
             key = [np.where((n >= 0) & (b > 0), n * m + b, -1) for n, b in zip(nodes, before, strict=True)]
-            known, number = np.unique(np.concatenate([x[x >= 0] for x in key]), return_counts=True)
+            known, number = totals(np.concatenate([x[x >= 0] for x in key]), np.concatenate([w[x >= 0] for x, w in zip(key, weights, strict=True)]))
             known = known[number >= least]
             first = len(self.child)
             self.child[known // m, known % m] = np.arange(first, first + len(known), dtype=np.int32)
@@ -116,13 +168,13 @@ class Model:
             self.pair = np.concatenate([self.pair, np.full((len(known), m), -1, np.int32)])
             self.parent = np.concatenate([self.parent, (known // m).astype(np.int32)])
             nodes = [np.where(x >= 0, self.child[np.maximum(x, 0) // m, np.maximum(x, 0) % m], -1) for x in key]
-            self._priced(rows, nodes, first)
+            self._priced(rows, nodes, weights, first)
         self.cost, self.escape = self.cost.astype(np.float32), self.escape.astype(np.float32)
 
-    def _priced(self, rows: list[np.ndarray], nodes: list[np.ndarray], first: int) -> None:
+    def _priced(self, rows: list[np.ndarray], nodes: list[np.ndarray], weights: list[np.ndarray], first: int) -> None:
         """Adds the costs of the nodes from ``first`` on, whose parents have theirs."""
         m, n = self.width, len(self.child) - first
-        keys = [np.unique((at * m + x)[(at >= 0) & (x > 0)], return_counts=True) for x, at in zip(rows, nodes, strict=True)]
+        keys = [totals((at * m + x)[(at >= 0) & (x > 0)], w[(at >= 0) & (x > 0)]) for x, at, w in zip(rows, nodes, weights, strict=True)]
         seen = np.unique(np.concatenate([k for k, _ in keys]))
         node, byte = seen // m, seen % m
         count = np.zeros((len(seen), len(rows)))
@@ -217,24 +269,82 @@ class Model:
         return F.arrow_udf(score, RESULT)
 
 
-def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, order: int = ORDER, least: int = LEAST, held_out: int = HELD_OUT, spread: float = SPREAD, most_languages: int = MOST_LANGUAGES) -> Model:
-    """A model of the labelled rows of ``docs`` with its limits; ``per_language`` x ``most_languages`` bounds the texts that reach the driver."""
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("k", "i"))
-    keyed = docs.select(col(label_col).cast("string").alias("l"), col(id_col).alias("i"), col(text_col).cast("string").alias("t")).where("l is not null and trim(l) <> '' and i is not null")
-    known = keyed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).select("l")
-    ranked = keyed.select("l", "i", F.xxhash64("i").alias("k")).join(F.broadcast(known), "l", "left_semi").withColumn("r", rank).where(F.col("r") <= per_language + held_out)
-    chosen = ranked.groupBy("l", "i").agg(F.min("r").alias("r"))
-    sample = written(keyed.where("t is not null").join(F.broadcast(chosen), ["l", "i"]).groupBy("l", "i").agg(F.min("r").alias("r"), F.max("t").alias("t")), "language")
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(sample.where(F.col("r") <= per_language).select("l", "i", "t").collect()):
-        data, offsets = tb.utf8(pa.array([r.t]))
-        texts.setdefault(r.l, []).append(normal(data, offsets)[0].tobytes())
-    model = Model(texts, order, least)
-    scores = sample.where(F.col("r") > per_language).select("l", model.udf()(F.col("t")).alias("s")).where(f"s.lang = l and s.size >= {LEAST_SIZE}")
-    rate = F.col("s.bits") / F.col("s.size")
-    for r in scores.groupBy("l").agg(F.count("*").alias("n"), F.avg(rate).alias("mean"), F.stddev_pop(rate).alias("sd")).collect():  # a row a language
+def counted(keyed: DataFrame, order: int) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """The ``grams`` of the texts ``t`` of each label ``l`` and half ``f``, counted on the executors."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        merged = lambda: {k: [totals(*map(np.concatenate, zip(*v, strict=True)))] for k, v in held.items()}
+        pending = 0
+        for batch in batches:
+            label = batch.column(0).dictionary_encode()
+            group = label.indices.to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            by = np.argsort(group, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(group[by], prepend=-1)), len(by))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                data, offsets = tb.utf8(batch.column(2).take(pa.array(by[a:b])))
+                own = held.setdefault((label.dictionary[int(group[by[a]]) // 2].as_py(), int(group[by[a]]) % 2), [])
+                for i, j in tb.chunks(offsets):
+                    own.append(grams(*normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[:2], order))
+                    pending += len(own[-1][0])
+            if pending > HELD_IN_MEMORY:
+                held = merged()
+                pending = sum(len(v[0][0]) for v in held.values())
+                if pending > HELD_IN_MEMORY // 2:
+                    yield from handed(held)
+                    held, pending = {}, 0
+        yield from handed(merged())
+
+    def handed(held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for (label, half), [(keys, counts)] in held.items():
+            for a in range(0, len(keys), 1 << 16):
+                n = len(keys[a : a + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.string()), pa.array(np.full(n, half, np.int32)), pa.array(keys[a : a + n].view(np.int64)), pa.array(counts[a : a + n])], ["l", "f", "g", "c"])
+
+    found = keyed.select("l", "f", "t").mapInArrow(count, "l string, f int, g long, c long").groupBy("l", "f", "g").agg(F.sum("c").alias("c")).toArrow().combine_chunks()
+    if not found.num_rows:
+        return {}
+    label = found["l"].combine_chunks().dictionary_encode()
+    group = label.indices.to_numpy().astype(np.int64) * 2 + found["f"].to_numpy()
+    keys, counts = found["g"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    by = np.lexsort((keys, group))
+    cuts = np.append(np.flatnonzero(np.diff(group[by], prepend=-1)), len(by))
+    return {(label.dictionary[int(group[by[a]]) // 2].as_py(), int(group[by[a]]) % 2): (keys[by[a:b]], counts[by[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)}
+
+
+def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int | None = None, order: int = ORDER, least: int = LEAST, spread: float = SPREAD) -> Model:
+    """A model of all labelled rows of ``docs`` with its limits; the driver gets the distinct grams of each language."""
+    keyed = docs.select(col(label_col).cast("string").alias("l"), col(id_col).alias("i"), col(text_col).cast("string").alias("t")).where("l is not null and trim(l) <> '' and t is not null")
+    if per_language is not None:
+        keyed = keyed.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "t"))).where(F.col("r") <= per_language)
+    keyed = keyed.select("l", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int").alias("f"), "t")
+    counts = counted(keyed, order)
+    halves = [Model.counted({x: v for (x, half), v in counts.items() if half == f}, order, least) for f in (0, 1)]
+
+    def held() -> Column:
+        """The result of a text under the model of the half that it is not in."""
+        own = [halves[1 - f].udf()(F.when(F.col("f") == f, F.col("t"))) for f in (0, 1)]
+        return F.when(F.col("f") == 0, own[0]).otherwise(own[1])
+
+    limits: dict[str, float] = {}
+    rate = F.expr(f"CASE WHEN s.lang = l AND s.size >= {LEAST_SIZE} AND s.bits <= {REJECT_BITS} * s.size THEN s.bits / s.size END")  # a filter would score twice
+    rates = keyed.select("l", held().alias("s")).select("l", rate.alias("r")).groupBy("l").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
+    for r in rates.collect() if counts else []:  # a row a language
         if r.n >= LEAST_HELD:
-            model.limits[r.l] = min(REJECT_BITS, r.mean + spread * r.sd)
+            limits[r.l] = min(REJECT_BITS, r.mean + spread * r.sd)
+    judged = [x for x in limits if limits[x] < REJECT_BITS]
+    out: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    if judged:
+        for m in halves:
+            m.limits |= {x: limits[x] for x in m.languages if x in limits}
+        out = counted(keyed.where(F.col("l").isin(judged)).withColumn("s", held()).where("not s.accepted"), order)
+    whole = {}
+    for x in sorted({x for x, _ in counts}):
+        parts = [v for f in (0, 1) if (v := counts.get((x, f)))] + [(k, -c) for f in (0, 1) if (x, f) in out for k, c in [out[x, f]]]
+        keys, left = totals(*map(np.concatenate, zip(*parts, strict=True)))
+        whole[x] = keys[left > 0], left[left > 0]
+    model = Model.counted(whole, order, least)
+    model.limits |= limits
     return model
 
 
