@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,6 +65,20 @@ def test_code_lengths_equal_slow_model():
             assert np.allclose(got, want, rtol=1e-5), (order, least, s)
 
 
+def test_scoring_works_in_small_arrays():
+    """What scoring holds at once fits a core's cache whatever the text's length: arrays of a step, none of bytes times languages."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlué") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    m = langid.Model({x: [" ".join(rng.choice(words) for _ in range(2000))] for x in "abcd"})
+    data, offsets = textbytes.utf8(pa.array([" ".join(rng.choice(words) for _ in range(400)) for _ in range(400)]))
+    m.lengths(data[: offsets[1]], offsets[:2])
+    tracemalloc.start()
+    m.lengths(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 600_000 and most < 6e6
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     even, held = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")

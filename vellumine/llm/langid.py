@@ -70,21 +70,24 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return data, np.zeros(n + 1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     low = tb.fold(data)
     w = tb.word_bytes(low)[0]
-    digit = np.flatnonzero((low >= 48) & (low <= 57))
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    digit = np.flatnonzero(low - np.uint8(48) < 10)
     if len(digit):  # a word with digits is no word of a language
-        first = w.copy()
-        first[1:] &= ~w[:-1]
-        first[offsets[:-1][offsets[:-1] < len(data)]] |= w[offsets[:-1][offsets[:-1] < len(data)]]
-        word = np.cumsum(first, dtype=np.int32)
-        spoilt = np.zeros(int(word[-1]) + 1, bool)
-        spoilt[word[digit]] = True
-        w &= ~spoilt[word]
-    after = np.concatenate([[False], w[:-1]])
-    after[offsets[:-1][offsets[:-1] < len(data)]] = False
-    keep = w | after
-    low[~w] = 32
-    sums = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[offsets] for x in (keep, w, data > 32)]
-    return low[keep], sums[0], np.diff(sums[1]), np.diff(sums[2])
+        edge = ~w
+        edge[begins] = True
+        edges = np.append(np.flatnonzero(edge), len(data))
+        spoilt = np.searchsorted(edges, digit, "right") - 1
+        spoilt = spoilt[np.concatenate([[True], spoilt[1:] != spoilt[:-1]])]
+        size = edges[spoilt + 1] - edges[spoilt]
+        w[np.arange(size.sum()) + np.repeat(edges[spoilt] - np.cumsum(size) + size, size)] = False
+    gap = ~w
+    np.copyto(low, 32, where=gap)
+    keep = w.copy()
+    keep[1:] |= w[:-1]
+    keep[begins] = w[begins]
+    kept = np.flatnonzero(keep)
+    letters, solid = (np.diff(offsets) - np.diff(np.searchsorted(np.flatnonzero(x), offsets)) for x in (gap, data <= 32))
+    return low[kept], np.searchsorted(kept, offsets), letters, solid
 
 
 def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +160,14 @@ class Model:
         self.cost, self.escape = np.zeros((0, len(rows)), np.float64), np.zeros((0, len(rows)), np.float64)
         nodes = [np.zeros(len(x), np.int64) for x in rows]
         self._priced(rows, nodes, weights, 0)
+        self.level = [0]  # the first node of each depth
         for d in range(1, order + 1):
             before = [self.code[part(x, d)].astype(np.int64) for x in keys]
             key = [np.where((n >= 0) & (b > 0), n * m + b, -1) for n, b in zip(nodes, before, strict=True)]
             known, number = totals(np.concatenate([x[x >= 0] for x in key]), np.concatenate([w[x >= 0] for x, w in zip(key, weights, strict=True)]))
             known = known[number >= least]
             first = len(self.child)
+            self.level.append(first)
             self.child[known // m, known % m] = np.arange(first, first + len(known), dtype=np.int32)
             self.child = np.concatenate([self.child, np.full((len(known), m), -1, np.int32)])
             self.pair = np.concatenate([self.pair, np.full((len(known), m), -1, np.int32)])
@@ -197,44 +202,59 @@ class Model:
 
     def coded(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray, step: int | None = None) -> np.ndarray:
         """Code lengths under each language of the stretches between cuts, among which are the texts' offsets."""
-        k, m, n = len(self.languages), self.width, len(data)
-        step = step or max(1 << 14, (1 << 21) // max(4, k))
+        k, m, n, order = len(self.languages), self.width, len(data), self.order
+        step = step or 1 << 16
         out = np.zeros((len(cuts) - 1, k))
-        child, pair = self.child.ravel(), self.pair.ravel()
+        child, pair, level, costs = self._flat()
         for a in range(0, n, step):
             b = min(a + step, n)
-            low = max(0, a - self.order)
-            sym = self.code[data[low:b]]
-            x = sym[a - low :]
-            t0, t1 = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
-            since = np.arange(a, b) - np.repeat(offsets[t0:t1], np.diff(np.clip(offsets[t0 : t1 + 1], a, b)))
-            node = np.zeros(b - a, np.int32)
-            live = np.arange(b - a)
-            for d in range(1, self.order + 1):
-                live = live[since[live] >= d]
-                nxt = child[node[live] * m + sym[live + (a - low) - d]]
+            low = max(0, a - order)
+            sym = np.zeros(order + b - a, np.int64)  # zeros before the first text
+            sym[order - (a - low) :] = self.code[data[low:b]]
+            t0, t1 = np.searchsorted(offsets, a - order, "right"), np.searchsorted(offsets, b, "left")
+            begins = np.unique(offsets[max(0, t0 - 1) : t1])
+            node = np.zeros(b - a, np.int64)  # times the width
+            for d in range(1, order + 1):
+                nxt = child.take(node + sym[order - d : order - d + b - a])
+                early = (begins[:, None] + np.arange(d) - a).ravel()  # less than d bytes of the text are before
+                nxt[early[(early >= 0) & (early < b - a)]] = -1
                 ok = nxt >= 0
-                live = live[ok]
-                node[live] = nxt[ok]
-            at = pair[node * m + x]
-            per = self.cost[np.maximum(at, 0)]
+                if d > 1:
+                    ok &= node >= level[d - 1]  # else a shorter context was the longest
+                np.copyto(node, nxt, where=ok)
+            x = sym[order:]
+            at = pair.take(node + x)
             miss = np.flatnonzero(at < 0)
-            per[miss] = 0
-            up = node[miss]
-            while len(miss):  # an escape for each context that has not seen the byte
-                per[miss] += self.escape[up]
+            at[miss] = 0
+            left, x, up, missed = np.arange(len(miss)), x[miss], node[miss] // m, np.zeros((len(miss), k), np.float32)
+            while len(left):  # an escape for each context that has not seen the byte
+                missed[left] += self.escape[up]
                 up = self.parent[up]
-                per[miss[up < 0]] += 8
-                miss, up = miss[up >= 0], up[up >= 0]
-                at = pair[up * m + x[miss]]
-                per[miss[at >= 0]] += self.cost[at[at >= 0]]
-                miss, up = miss[at < 0], up[at < 0]
+                missed[left[up < 0]] += 8
+                left, x, up = left[up >= 0], x[up >= 0], up[up >= 0]
+                here = pair[up.astype(np.int64) * m + x]
+                missed[left[here >= 0]] += self.cost[here[here >= 0]]
+                left, x, up = left[here < 0], x[here < 0], up[here < 0]
             c0, c1 = np.searchsorted(cuts, a, "right") - 1, np.searchsorted(cuts, b, "left")
             starts = np.clip(cuts[c0:c1], a, b) - a
             full = np.flatnonzero(np.diff(np.append(starts, b - a)) > 0)
-            out[c0 + full] += np.add.reduceat(per, starts[full], axis=0, dtype=np.float64)
+            for j in range(k):
+                per = costs[j].take(at)
+                per[miss] = missed[:, j]
+                out[c0 + full, j] += np.add.reduceat(per, starts[full])
         return out
 
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+        """Children times the width and pairs, both by node times width plus byte; the first node of each depth, times the width; a row of costs a language."""
+        if "flat" not in self.__dict__:
+            child = self.child.ravel().astype(np.int64)
+            child[child >= 0] *= self.width
+            self.flat = child, self.pair.ravel().astype(np.int64), [x * self.width for x in self.level], np.ascontiguousarray(self.cost.T, np.float64)
+        return self.flat
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "flat"}
+
     def udf(self, slack_bits: float = SLACK_BITS, least_letters: float = LEAST_LETTERS):
         """A column function from text to ``RESULT``."""
         limit = np.array([self.limits[x] for x in self.languages] or [0.0])
