@@ -1,11 +1,12 @@
 """Chains, changes, layers, rendering, configured queries and sources on small tables."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.functions import detect, mdtable
+from vellumine.functions import detect, js, mdtable
 from vellumine.operators import layers, mutate
 from vellumine.operators.entityset import EntitySet
 from vellumine.plans import config
@@ -250,3 +251,28 @@ def test_dates(spark):
     texts = {"2024-01-05": day, "2024-01-05T10:00:00Z": day + 36_000_000, "2024-01-05T10:00:00+02:00": day + 28_800_000, "2024/1/5": day, "01/05/2024": day, "January 5, 2024": day, "Jan 5, 2024 10:00:00": day + 36_000_000, "5 Jan 2024": day, "Fri, 05 Jan 2024 10:00:00 GMT": day + 36_000_000, "2024-01": 1704067200000, "2024": 1704067200000, "no date": None, "": None, "13/45/2024": None}
     df = spark.createDataFrame([(k,) for k in texts], "t string").select("t", js.epoch_ms(F.col("t")).alias("ms"))
     assert {r.t: r.ms for r in df.collect()} == texts
+
+
+def test_typed_values_equal_the_general_ones(spark):
+    texts = ["", " ", "\t", "a", " a ", "　a ", " \ta b\n ", " ", "x﻿", None, "$1,234.56", "-5", "5.", ",", "-,", "$ -7", "¥3万", " 12 %", "12.5%", "\t9 ", "1996-03-13", "1e5", "NaN", "1d", "é", "1.2.3", "1" * 400]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = js.trim(F.col("t"))
+    kind = detect.trimmed_type(t)
+    rows = df.select(detect.typed_value(F.col("t"), kind).alias("a"), detect.numeric_value(F.col("t"), kind).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a is not None for r in rows) > 7
+
+
+def test_types_of_long_digits_take_linear_time(spark):
+    df = spark.createDataFrame([("1" * 200_000 + "x",), ("," * 200_000 + "x",), ("7" * 200_000,)], "t string")
+    began = time.monotonic()
+    assert [r.k for r in df.select(detect.trimmed_type(F.col("t")).alias("k")).collect()] == ["text", "text", "currency"]
+    assert time.monotonic() - began < 20
+
+
+def test_a_table_is_cut_into_lines_once(spark):
+    nbsp = "\u00a0"
+    df = spark.createDataFrame([("| a |\n|---|\n| b |",), (f"| a{nbsp} |\n|---|\n| {nbsp}b |",)], "m string")
+    html = df.select(mdtable.table_html(F.col("m"), "x").alias("h"))
+    assert html._jdf.queryExecution().analyzed().toString().count("split(trim(m") <= 2  # once in each branch
+    assert len({r.h for r in html.collect()}) == 1
+    assert [r.c for r in df.select(mdtable.cell_rows(F.col("m")).alias("c")).collect()] == [[["a"], ["b"]]] * 2
